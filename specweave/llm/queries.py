@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from specweave.llm import exact, mixing
+from specweave.llm import exact, mixing, sharding
 
 QUERIES = {
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op5_shards": sharding.op5_shards,
     "op7_mix": mixing.op7_mix,
 }
 
