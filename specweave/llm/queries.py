@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from specweave.llm import exact, mixing, sharding, simhash
+from specweave.llm import bpe, exact, mixing, sharding, simhash
 
 QUERIES = {
+    "op9_bpe": bpe.op9_bpe,
     "op1_simhash": simhash.op1_simhash,
     "op10_exact_dedup": exact.op10_exact_dedup,
     "op5_shards": sharding.op5_shards,
