@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from specweave.llm import bpe, exact, mixing, sharding, simhash
+from specweave.llm import bpe, exact, langid, mixing, secret_scan, sharding, simhash
 
 QUERIES = {
+    "op3_secrets": secret_scan.op3_secrets,
+    "op8_language": langid.op8_language,
     "op9_bpe": bpe.op9_bpe,
     "op1_simhash": simhash.op1_simhash,
     "op10_exact_dedup": exact.op10_exact_dedup,
