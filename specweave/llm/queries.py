@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from specweave.llm import bpe, exact, langid, mixing, secret_scan, sharding, simhash
+from specweave.llm import bpe, embedding, exact, langid, mixing, quality, secret_scan, sharding, simhash
 
 QUERIES = {
+    "op4_embedding": embedding.op4_embedding,
+    "op6_quality": quality.op6_quality,
     "op3_secrets": secret_scan.op3_secrets,
     "op8_language": langid.op8_language,
     "op9_bpe": bpe.op9_bpe,
