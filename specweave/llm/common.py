@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -96,3 +97,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def freed(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()

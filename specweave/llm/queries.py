@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from specweave.llm import bpe, embedding, exact, langid, mixing, quality, secret_scan, sharding, simhash
+from specweave.llm import bpe, embedding, exact, langid, mixing, quality, secret_scan, sharding, simhash, substring
 
 QUERIES = {
+    "op2_substrings": substring.op2_substrings,
     "op4_embedding": embedding.op4_embedding,
     "op6_quality": quality.op6_quality,
     "op3_secrets": secret_scan.op3_secrets,
