@@ -1,105 +1,18 @@
-"""Shared pieces: scratch tables, word patterns, connected components."""
+"""Shared pieces: word patterns, tables, and the library's scratch tables and components."""
 
 from __future__ import annotations
 
-import functools
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from specweave.operators.components import components
+from specweave.scratch import discard, freed, written
+
+__all__ = ["SPACE", "WORD", "components", "discard", "freed", "table", "written"]
 
 #: White space and words as the contracts define them (Java and Python regex syntax alike).
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-@functools.cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="scratch-")
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder of our own only on a local master without one."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        return _own_folder()
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared scratch folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete a table of ``written`` that no later plan reads."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a long, b long)``: one row ``(node, component)`` for each node that has an edge.
-
-    ``component`` is the smallest node reachable. Alternates large-star and small-star steps over a distributed edge
-    table until it is a star forest; each round is written to the scratch folder. Minima are combined before the
-    shuffle, so that a hub with very many neighbours costs one partial row a task, and the join that hands the minimum
-    back is an ordinary shuffled join that adaptive execution can split. Self-loops, repeats and nulls are ignored.
-    """
-    cur = written(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        "cc",
-    )
-    seen = None
-    for _ in range(max_rounds):
-        both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        mins = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(mins, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.*")
-            .where("u <> v")
-            .distinct()
-        )
-        nxt = written(small, "cc")
-        discard(cur)
-        cur = nxt
-        state = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
-    else:
-        raise RuntimeError("components did not settle")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
-
-
-def freed(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
