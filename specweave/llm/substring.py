@@ -133,7 +133,7 @@ def _pieces(block: list[tuple[int, int, bytes]], length: int, shards: int) -> tu
     hashes = gram_hashes(data)
     least = window_minimizers(hashes, length)
     piece = np.repeat(np.arange(len(block)), np.diff(bounds))[: len(least)]
-    inside = np.arange(len(least)) + length <= bounds[piece + 1]
+    inside = np.arange(len(least)) <= np.repeat(bounds[1:] - length, np.diff(bounds))[: len(least)]
     head = np.ones(len(least), bool)
     head[1:] = (least[1:] != least[:-1]) | (piece[1:] != piece[:-1])
     cut = np.flatnonzero(head | ~inside)
@@ -159,13 +159,14 @@ def _pieces(block: list[tuple[int, int, bytes]], length: int, shards: int) -> tu
     sent, shard = sent[by], shard[by]
     cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.empty(0, np.int64)
     out, squeeze = [], zstandard.ZstdCompressor(level=1)
+    start, end, key = start[sent], end[sent], key[sent]
+    place, mark = start + local[start], (least[start] >> np.uint64(32)).astype(np.uint32)
     for a, b in zip(cuts, np.append(cuts[1:], len(sent)), strict=True):
-        own = sent[a:b]
-        header = np.empty(len(own), _HEADER)
-        header["key"], header["start"], header["n"], header["hash"] = key[own], (start + local[start])[own], (end - start)[own], (least[start[own]] >> np.uint64(32)).astype(np.uint32)
+        header = np.empty(b - a, _HEADER)
+        header["key"], header["start"], header["n"], header["hash"] = key[a:b], place[a:b], end[a:b] - start[a:b], mark[a:b]
         fields = b"".join(header[f].tobytes() for f in _HEADER.names)
-        text = b"".join([data[x : y + length - 1] for x, y in zip(start[own].tolist(), end[own].tolist(), strict=True)])
-        out.append((int(shard[a]), squeeze.compress(len(own).to_bytes(8, "little") + fields + text)))
+        text = b"".join([data[x : y + length - 1] for x, y in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)])
+        out.append((int(shard[a]), squeeze.compress((b - a).item().to_bytes(8, "little") + fields + text)))
     return out, spans
 
 
