@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from specweave.operators.components import components
-from specweave.scratch import discard, freed, written
+from specweave.scratch import discard, written
 
-__all__ = ["SPACE", "WORD", "components", "discard", "freed", "table", "written"]
+__all__ = ["SPACE", "WORD", "components", "discard", "table", "written"]
 
 #: White space and words as the contracts define them (Java and Python regex syntax alike).
 SPACE = r"[\x20\x09-\x0D]+"

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.llm.common import discard, freed, table, written
+from specweave.llm.common import table, written
 from specweave.llm.induced import suffixes_downwards
 
 LENGTH = 50
@@ -121,7 +121,8 @@ def _span_batch(keys: np.ndarray, start: np.ndarray, end: np.ndarray, schema: pa
 
 
 _SPANS = pa.schema([("doc_id", pa.int64()), ("spans", pa.binary())])
-_HEADER = np.dtype([("key", "<i8"), ("start", "<i4"), ("n", "<u2"), ("hash", "<u4")])
+#: Fields of a payload; keys and starts are stored as differences, and 24 bits of the minimizer do within a shard.
+_HEADER = np.dtype([("key", "<i8"), ("start", "<i4"), ("n", "<u2"), ("high", "<u2"), ("low", "u1")])
 
 
 def _pieces(block: list[tuple[int, int, bytes]], length: int, shards: int) -> tuple[list[tuple[int, bytes]], pa.RecordBatch]:
@@ -158,12 +159,13 @@ def _pieces(block: list[tuple[int, int, bytes]], length: int, shards: int) -> tu
     by = np.argsort(shard, kind="stable")
     sent, shard = sent[by], shard[by]
     cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.empty(0, np.int64)
-    out, squeeze = [], zstandard.ZstdCompressor(level=1)
+    out, squeeze = [], zstandard.ZstdCompressor(level=3)
     start, end, key = start[sent], end[sent], key[sent]
-    place, mark = start + local[start], (least[start] >> np.uint64(32)).astype(np.uint32)
+    place, mark = start + local[start], least[start] >> np.uint64(40)
     for a, b in zip(cuts, np.append(cuts[1:], len(sent)), strict=True):
         header = np.empty(b - a, _HEADER)
-        header["key"], header["start"], header["n"], header["hash"] = key[a:b], place[a:b], end[a:b] - start[a:b], mark[a:b]
+        header["key"], header["start"] = np.diff(key[a:b], prepend=0), np.diff(place[a:b], prepend=0)
+        header["n"], header["high"], header["low"] = end[a:b] - start[a:b], mark[a:b] >> np.uint64(8), mark[a:b] & np.uint64(255)
         fields = b"".join(header[f].tobytes() for f in _HEADER.names)
         text = b"".join([data[x : y + length - 1] for x, y in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)])
         out.append((int(shard[a]), squeeze.compress((b - a).item().to_bytes(8, "little") + fields + text)))
@@ -178,6 +180,7 @@ def _unpacked(payload: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
         width = _HEADER[f].itemsize
         header[f] = np.frombuffer(raw, _HEADER[f], n, at)
         at += n * width
+    header["key"], header["start"] = np.cumsum(header["key"]), np.cumsum(header["start"])
     return header, np.frombuffer(raw, np.uint8, -1, at)
 
 
@@ -191,9 +194,10 @@ def shard_spans(header: np.ndarray, text: np.ndarray, length: int = LENGTH, **so
     """Spans (key, start, end) to remove from the documents of a shard's segments."""
     size = header["n"].astype(np.int64) + length - 1
     place = np.cumsum(size) - size
-    _, inverse, count = np.unique(header["hash"], return_inverse=True, return_counts=True)
+    mark = header["high"].astype(np.int64) * 256 + header["low"]
+    _, inverse, count = np.unique(mark, return_inverse=True, return_counts=True)
     some = np.flatnonzero(count[inverse] > 1)
-    header, text = header[some], _taken(text, place[some], size[some])
+    header, mark, text = header[some], mark[some], _taken(text, place[some], size[some])
     size = size[some]
     place = np.cumsum(size) - size
     if not len(header):
@@ -209,7 +213,7 @@ def shard_spans(header: np.ndarray, text: np.ndarray, length: int = LENGTH, **so
     followers = np.flatnonzero((stands != np.arange(len(stands))) & (header["key"] == header["key"][stands]))
     # suffixes of the others, where more than one segment has the minimizer
     lead = np.flatnonzero(stands == np.arange(len(stands)))
-    _, inverse, count = np.unique(header["hash"][lead], return_inverse=True, return_counts=True)
+    _, inverse, count = np.unique(mark[lead], return_inverse=True, return_counts=True)
     lead = lead[count[inverse] > 1]
     if len(lead):
         own_size = size[lead] + 1
@@ -312,8 +316,6 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """(id, n_bytes, n_removed, n_spans, kept_sha256) and, if asked for, kept (the bytes left), one row a document."""
     found = repeated_spans(docs, id_col, text_col, length)
     spans = written(found.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")), "substring-spans")
-    del found
-    freed(spans.sparkSession)
 
     def cut(batches):
         for batch in batches:
