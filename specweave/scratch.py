@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import gc
 import tempfile
 import uuid
 
@@ -26,11 +25,20 @@ def scratch_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
+#: Spark removes the shuffle files of a query at its end while this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the scratch folder and read it back."""
+    """Write a table into the scratch folder and read it back. The shuffle files of the write go with it."""
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -44,8 +52,3 @@ def discard(df: DataFrame | None) -> None:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
-
-def freed(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
