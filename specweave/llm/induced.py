@@ -238,27 +238,30 @@ def _names(padded: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix order of ``names`` by their first ``depth`` symbols, in memory."""
+    """Suffix order of ``names`` by their first ``depth`` symbols, in memory. A rank is the place of the first of equals."""
     n = len(names)
-    order = np.argsort(names, kind="stable")
-    head = np.concatenate([[True], names[order][1:] != names[order][:-1]])
+    key = names * (n + 1)
+    key[:-1] += names[1:] + 1
+    order = np.argsort(key)
+    key = key[order]
     rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    k = 1
+    rank[order] = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(n), 0))
+    k = 2
     while k < depth:
         sizes = np.bincount(rank, minlength=n)
         tied = np.flatnonzero(sizes[rank] > 1)
         if not len(tied):
             break
-        nxt = np.where(tied + k < n, rank[np.minimum(tied + k, n - 1)], -1)
-        by = np.lexsort((nxt, rank[tied]))
-        tied, nxt, own = tied[by], nxt[by], rank[tied][by]
-        at = np.arange(len(tied))
+        key = rank[tied] * (n + 1)
+        key += np.where(tied + k < n, rank[np.minimum(tied + k, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        tied, key = tied[by], key[by]
+        own, at = rank[tied], np.arange(len(tied))
         group = np.maximum.accumulate(np.where(np.concatenate([[True], own[1:] != own[:-1]]), at, 0))
-        split = np.maximum.accumulate(np.where(np.concatenate([[True], (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1])]), at, 0))
+        split = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), at, 0))
         rank[tied] = own + split - group
         k *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank)
 
 
 class SpillingHeap:
