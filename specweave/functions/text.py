@@ -33,7 +33,7 @@ def token_estimate(text: Column) -> Column:
 
 def fixed(x: Column, digits: int = 2) -> Column:
     """Half-even decimal text without separators."""
-    return F.format_number(x, "0." + "0" * digits)
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits))
 
 
 def file_size(size: Column) -> Column:

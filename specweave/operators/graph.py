@@ -163,7 +163,7 @@ def induced(members: DataFrame, pairs: DataFrame, key: str = "start") -> DataFra
 
 def group_metrics(members: DataFrame, pairs: DataFrame, nodes: DataFrame, key: str = "start") -> DataFrame:
     """(key, n, m, density, types, avg_clustering) of each group's induced subgraph."""
-    inside = induced(members, pairs, key)
+    inside = written(induced(members, pairs, key), "induced")
     counts = members.join(nodes.select(F.col("node_id").alias("node"), "type"), "node", "left").groupBy(key).agg(F.countDistinct("node").alias("n"), F.countDistinct("type").alias("types"))
     m = inside.groupBy(key).agg(F.count("*").alias("m"))
     ways = inside.where("a <> b")
@@ -199,9 +199,10 @@ def endpoints(nodes: DataFrame, pairs: DataFrame, starts: DataFrame, hops: int =
     outside = starts.select("start").distinct().crossJoin(F.broadcast(pool.select(F.col("node_id").alias("node")))).join(near, ["start", "node"], "left_anti")
     outside = outside.withColumn("r", F.row_number().over(W.partitionBy("start").orderBy(F.xxhash64("node", F.lit(seed)), "node"))).where(F.col("r") <= others).select("start", "node")
     both = near.union(outside).where("start <> node")
-    info = clustering(nodes, pairs).select(F.col("node_id").alias("node"), "degree", "clustering")
+    info = written(clustering(nodes, pairs), "clustering").select(F.col("node_id").alias("node"), "degree", "clustering")
     mean_near = both_ways(pairs).join(info.select(F.col("node").alias("other"), F.col("degree").alias("od")), "other").groupBy("node").agg(F.avg("od").alias("near_degree"))
-    g = global_metrics(nodes, pairs).select("avg_degree", "avg_clustering")
+    g = info.agg(F.avg("degree").alias("avg_degree"), F.coalesce(F.avg("clustering"), F.lit(0.0)).alias("avg_clustering"))
+    both = written(both, "candidates")
     named = nodes.select(F.col("node_id").alias("node"), "type", "name")
     rows = both.join(info, "node").join(mean_near, "node", "left").join(named, "node").join(nodes.select(F.col("node_id").alias("start"), F.col("name").alias("start_name")), "start").crossJoin(F.broadcast(g))
     same = (F.coalesce("name", F.lit("")) != "") & (F.coalesce("start_name", F.lit("")) != "") & (F.contains("name", "start_name") | F.contains("start_name", "name"))
@@ -225,10 +226,10 @@ def simple_paths(pairs: DataFrame, starts: DataFrame, depth: int = 5, targets: D
 
 def path_metrics(paths: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``paths`` with length (nodes), edge_density, path_clustering, mean_degree, mean_centrality, importance, significant."""
-    keyed = paths.withColumn("pid", F.array_join(F.transform("path", lambda x: x.cast("string")), "\u0001"))
+    keyed = written(paths.withColumn("pid", F.array_join(F.transform("path", lambda x: x.cast("string")), "\u0001")), "path-ids")
     members = keyed.select("pid", F.explode("path").alias("node"))
     info = degrees(nodes, pairs).select(F.col("node_id").alias("node"), "degree")
-    g = global_metrics(nodes, pairs)
+    g = written(global_metrics(nodes, pairs), "global")
     sub = group_metrics(members, pairs, nodes, "pid").select("pid", F.col("n").alias("length"), F.col("density").alias("edge_density"), F.col("avg_clustering").alias("path_clustering"))
     mean = members.join(info, "node").groupBy("pid").agg(F.avg("degree").alias("mean_degree"))
     out = keyed.join(sub, "pid").join(mean, "pid").crossJoin(F.broadcast(g)).withColumn("mean_centrality", F.when(F.col("n") > 1, F.col("mean_degree") / (F.col("n") - 1)).otherwise(1.0))
