@@ -60,6 +60,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.min(F.struct(F.col("_x_id").isNull().alias("n"), F.col("_x_id").alias("i"), F.col("_x_row").alias("r"))).alias("_x_first"),
         F.count("*").alias("_x_n"),
     )
+    groups = written(groups, "exact-groups")  # so that the join is one of its own, which splits a hot group
     shuffled = maybe.join(groups, "_x_sha").select(
         F.col("_x_id").alias(id_col), F.col("_x_first.i").alias("keep_id"), F.col("_x_n").alias("group_size"),
         (F.col("_x_first.r") == F.col("_x_row")).alias("kept"), F.col("_x_sha").alias("text_sha256"),
