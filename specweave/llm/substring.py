@@ -159,7 +159,7 @@ def _pieces(block: list[tuple[int, int, bytes]], length: int, shards: int) -> tu
     by = np.argsort(shard, kind="stable")
     sent, shard = sent[by], shard[by]
     cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.empty(0, np.int64)
-    out, squeeze = [], zstandard.ZstdCompressor(level=3)
+    out, squeeze = [], zstandard.ZstdCompressor(level=5)
     start, end, key = start[sent], end[sent], key[sent]
     place, mark = start + local[start], least[start] >> np.uint64(40)
     for a, b in zip(cuts, np.append(cuts[1:], len(sent)), strict=True):
