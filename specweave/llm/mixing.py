@@ -2,12 +2,12 @@
 
 Every document of a source has the same number of expected copies: the source's target over its size, 2 at most. Along
 a fixed order of the source's documents the expected copies are summed up, one random offset in [0, 1) is added, and a
-document is emitted once for each integer that the sum crosses at it. The order runs through quarter octaves of size,
-so that each stratum gets its share and the words taken come near the target.
+document is emitted once for each integer that the sum crosses at it. The order goes by size (nine leading bits), so
+that documents of each size get their share and the words taken come near the target.
 
-The prefix sum never gathers a source in one task: a document's rank is the offset of its cell (source, size class,
-two levels of hash) plus its rank inside the cell. Sums over cells of one source see at most 256 rows, sums within a
-first-level cell at most 256, and only cells of about 1/65,536 of a size class are sorted.
+The prefix sum never gathers a source in one task: a document's rank is the offset of its cell (source, three levels of
+size and hash) plus its rank inside the cell. Each of the sums over cells sees at most 256 rows of a parent cell, and
+only the last cells are sorted; documents of one size, such as many copies, are dealt to 4,096 of them by hash.
 
 Defined cases: null text has no words; the null source is a source, and comes last; a source without words gets target
 0 and no copies; without any words all targets are 0; documents with the same id and text are separate rows, ranked
@@ -53,51 +53,52 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float
     ).withColumn("copies", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
 
 
-def size_class(size: Column) -> Column:
-    """Quarter octaves of a size as an integer from 0 to 63, by whole-number arithmetic."""
-    bits = F.bin(size)
-    n = F.length(bits)
-    quarter = F.when(n >= 3, F.conv(F.substring(bits, 2, 2), 2, 10).cast("int")).otherwise(0)
-    return F.when(size == 0, 0).otherwise(F.least(F.lit(63), n * 4 + quarter - 4)).cast("int")
+def _bits(text: Column, start: int, n: int) -> Column:
+    return F.conv(F.substring(text, start, n), 2, 10).cast("int")
+
+
+#: Cells below a source: leading bits of the size as a binary numeral (its length, then two, two and four bits), and a hash.
+LEVELS = (("_m_class", "_m_one"), ("_m_two",), ("_m_three",))
+CELL = ("_m_source", *(c for level in LEVELS for c in level))
 
 
 def _celled(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, *more: Column) -> DataFrame:
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("_m_id").cast("string")))
-    return (
-        docs.select(
-            F.col(id_col).alias("_m_id"), F.col(source_col).cast("string").alias("_m_source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_m_size"), *more,
-        )
-        .withColumn("_m_class", size_class(F.col("_m_size")))
-        .withColumn("_m_hash", digest)
-        .withColumn("_m_one", F.pmod(F.conv(F.substring("_m_hash", 1, 2), 16, 10).cast("int"), F.lit(4)))
-        .withColumn("_m_two", F.conv(F.substring("_m_hash", 3, 2), 16, 10).cast("int"))
-        .drop("_m_hash")
+    size = docs.select(
+        F.col(id_col).alias("_m_id"), F.col(source_col).cast("string").alias("_m_source"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_m_size"), *more,
     )
+    size = size.withColumns({"_m_hash": F.md5(F.concat_ws("|", F.lit(seed), F.col("_m_id").cast("string"))), "_m_bits": F.concat(F.bin("_m_size"), F.lit("000000000"))})
+    bits, hex_ = F.col("_m_bits"), lambda start, n: F.conv(F.substring("_m_hash", start, n), 16, 10).cast("int")
+    return (
+        size.withColumn("_m_class", F.when(F.col("_m_size") == 0, 0).otherwise(F.least(F.lit(63), (F.length(bits) - 9) * 4 - 4 + _bits(bits, 2, 2))).cast("int"))
+        .withColumn("_m_one", _bits(bits, 4, 2))
+        .withColumn("_m_two", _bits(bits, 6, 4) * 16 + hex_(1, 1))
+        .withColumn("_m_three", hex_(2, 2))
+        .drop("_m_hash", "_m_bits")
+    )
 
 
-def _same(cols: list[str]) -> list[Column]:
+def _same(cols) -> list[Column]:
     return [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cols]
 
 
 def _counted(rows: DataFrame, cells_of: DataFrame, weights, total: float, most: float, seed: str) -> DataFrame:
     """``rows`` with source_size, target and n_copies; ``cells_of``: the same rows, for the counts."""
-    first = ["_m_source", "_m_class", "_m_one"]
-    cell = [*first, "_m_two"]
-    inner = cells_of.groupBy(*cell).agg(F.count("*").alias("n"))
-    inner = inner.select(*cell, (F.sum("n").over(W.partitionBy(*first).orderBy("_m_two")) - F.col("n")).alias("_m_in"))
-    outer = cells_of.groupBy(*first).agg(F.count("*").alias("n"))
-    outer = outer.select(*first, (F.sum("n").over(W.partitionBy("_m_source").orderBy("_m_class", "_m_one")) - F.col("n")).alias("_m_out"))
-    start = inner.alias("l").join(outer.alias("r"), _same(first)).select(*[F.col(f"l.{c}") for c in cell], (F.col("_m_in") + F.col("_m_out")).alias("_m_start"))
     goal = targets(cells_of.groupBy("_m_source").agg(F.sum("_m_size").alias("source_size")), weights, total, most)
-    start = start.alias("l").join(goal.alias("r"), _same(["_m_source"])).select(*[F.col(f"l.{c}") for c in cell], "_m_start", "source_size", "target", "copies")
-    ranked = rows.withColumn("_m_rank", F.row_number().over(W.partitionBy(*cell).orderBy("_m_id", "_m_tie")))
+    start, keys = goal.withColumn("_m_start", F.lit(0).cast("long")), ["_m_source"]
+    counts = cells_of.groupBy(*CELL).agg(F.count("*").alias("n"))
+    for level in LEVELS:
+        parent, keys = keys, [*keys, *level]
+        own = counts.groupBy(*keys).agg(F.sum("n").alias("n"))
+        own = own.select(*keys, (F.sum("n").over(W.partitionBy(*parent).orderBy(*level)) - F.col("n")).alias("_m_before"))
+        start = own.alias("l").join(start.alias("r"), _same(parent)).select(*[F.col(f"l.{c}") for c in keys], (F.col("_m_before") + F.col("_m_start")).alias("_m_start"), "source_size", "target", "copies")
+    ranked = rows.withColumn("_m_rank", F.row_number().over(W.partitionBy(*CELL).orderBy("_m_id", "_m_tie")))
     draw = F.md5(F.concat_ws("|", F.lit(seed), F.lit("offset"), F.coalesce(F.concat(F.lit("s:"), F.col("l._m_source")), F.lit("none"))))
     offset = F.conv(F.substring(draw, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     upto = F.col("_m_start") + F.col("_m_rank")
     crossed = F.floor(offset + F.col("copies") * upto) - F.floor(offset + F.col("copies") * (upto - 1))
     n_copies = F.least(crossed, F.ceil(F.lit(most))).cast("int").alias("n_copies")
-    return ranked.alias("l").join(start.alias("r"), _same(cell)).select("l.*", "source_size", "target", n_copies)
+    return ranked.alias("l").join(start.alias("r"), _same(CELL)).select("l.*", "source_size", "target", n_copies)
 
 
 def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, total=TOTAL, most=MOST_COPIES, seed: str = SEED) -> DataFrame:
@@ -125,10 +126,13 @@ def op7_mix(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix-1|' || doc_id) AS h FROM documents
+), b AS (
+  SELECT *, CASE WHEN size = 0 THEN '0' ELSE bin(size) END || '000000000' AS x FROM d
 ), c AS (
-  SELECT *, CASE WHEN size = 0 THEN 0 ELSE least(63, length(bin(size)) * 4 - 4 + CASE WHEN length(bin(size)) < 3 THEN 0
-      ELSE CASE substr(bin(size), 2, 2) WHEN '01' THEN 1 WHEN '10' THEN 2 WHEN '11' THEN 3 ELSE 0 END END) END AS cls,
-    ('0x' || substr(h, 1, 2))::INT % 4 AS one, ('0x' || substr(h, 3, 2))::INT AS two FROM d
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE least(63, (length(x) - 9) * 4 - 4 + 2 * substr(x, 2, 1)::INT + substr(x, 3, 1)::INT) END AS cls,
+    2 * substr(x, 4, 1)::INT + substr(x, 5, 1)::INT AS one,
+    16 * (8 * substr(x, 6, 1)::INT + 4 * substr(x, 7, 1)::INT + 2 * substr(x, 8, 1)::INT + substr(x, 9, 1)::INT) + ('0x' || substr(h, 1, 1))::INT AS two,
+    ('0x' || substr(h, 2, 2))::INT AS three FROM b
 ), s AS (
   SELECT source, sum(size) AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM c GROUP BY source
 ), l AS (
@@ -139,7 +143,7 @@ WITH d AS (
   SELECT *, least(cap, coalesce(arg_min(level, cap / w) FILTER (level * w <= cap) OVER (), 'infinity'::DOUBLE) * w) AS target FROM l
 ), r AS (
   SELECT c.doc_id, c.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS f,
-    row_number() OVER (PARTITION BY c.source ORDER BY cls, one, two, doc_id) AS upto,
+    row_number() OVER (PARTITION BY c.source ORDER BY cls, one, two, three, doc_id) AS upto,
     ('0x' || substr(md5('mix-1|offset|' || coalesce('s:' || c.source, 'none')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
   FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
 )
