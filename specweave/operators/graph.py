@@ -83,6 +83,23 @@ def distances(pairs: DataFrame, starts: DataFrame, depth: int | None = None) ->
     return seen
 
 
+def directed_distances(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(start, node, dist) along ``edges(src, dst)``; a start is at distance 0 from itself."""
+    steps = written(edges.select("src", "dst").distinct(), "steps")
+    seen = written(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("dist")).distinct(), "reach")
+    front, level = seen, 0
+    while depth is None or level < depth:
+        level += 1
+        reached = front.join(steps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
+        front = written(reached.withColumn("dist", F.lit(level)), "reach")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+        if level % 8 == 0:
+            seen = written(seen, "reach")
+    return seen
+
+
 def closeness(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node_id, closeness), scaled by the share of nodes that are reached."""
     d = distances(pairs, nodes.select(F.col("node_id").alias("start"))).groupBy("start").agg(F.sum("dist").alias("total"), (F.count("*") - 1).alias("reached"))

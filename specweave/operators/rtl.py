@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from specweave.functions.text import found
+from specweave.operators.graph import directed_distances
 from specweave.scratch import written
 
 #: Patterns, word lists and classes that decide which facts are found.
@@ -280,6 +281,23 @@ def primary_signals(port_table: DataFrame) -> DataFrame:
     return port_table.select(F.concat_ws(".", "module", "port").alias("signal")).distinct()
 
 
+def signal_relationships(dataflow: DataFrame, primary: DataFrame, depth: int | None = None) -> DataFrame:
+    """(source, target, dist): primary signals that reach another one along the data flow, and over how many steps."""
+    near = directed_distances(dataflow, primary.select(F.col("signal").alias("start")), depth).where("dist > 0")
+    return near.join(primary.select(F.col("signal").alias("node")), "node", "left_semi").select(F.col("start").alias("source"), F.col("node").alias("target"), "dist")
+
+
+def module_port_names(mods: DataFrame, port_table: DataFrame) -> DataFrame:
+    """(signal): every port name under every module, for designs whose ports could not be assigned; bounded by the design."""
+    return mods.select("module").distinct().crossJoin(port_table.select("port").distinct()).select(F.concat_ws(".", "module", "port").alias("signal"))
+
+
+def design_summary(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row with the number of rows of each table of ``facts``."""
+    counts = [t.agg(F.count("*").alias(f"n_{n}")) for n, t in tables.items()]
+    return functools.reduce(DataFrame.crossJoin, counts)
+
+
 def module_summary(mods: DataFrame, port_table: DataFrame, assigned: DataFrame, flow: DataFrame) -> DataFrame:
     """(module, n_ports, n_assigns, n_ifs, n_cases, complexity) with complexity = ports + assignments + 2 ifs + 2 cases."""
     out = mods.select("module").distinct()

@@ -685,6 +685,19 @@ def file_dependency_levels(spark, sf):
     return rtl.dependency_levels(d.select("file").union(d.select("needs")), d)
 
 
+@query("WITH RECURSIVE " + samples.values("d", samples.DEPENDENCIES, "file, needs") + ", f AS (SELECT file FROM d UNION SELECT needs FROM d), r AS (SELECT file AS start, file AS node, 0 AS dist FROM f UNION SELECT start, needs, dist + 1 FROM r JOIN d ON d.file = node WHERE dist < 12) SELECT start, node, min(dist)::INT AS dist FROM r GROUP BY ALL")
+def directed_reach(spark, sf):
+    d = samples.table(spark, "dependencies")
+    files = d.select("file").union(d.select("needs")).distinct()
+    return G.directed_distances(d.select(F.col("file").alias("src"), F.col("needs").alias("dst")), files.select(F.col("file").alias("start")))
+
+
+@query()
+def rtl_signal_relationships(spark, sf):
+    facts = rtl.facts(samples.table(spark, "rtl"))
+    return rtl.signal_relationships(facts["dataflow"], rtl.primary_signals(facts["ports"]))
+
+
 # ---- results
 
 

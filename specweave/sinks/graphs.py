@@ -68,3 +68,13 @@ def write_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     n, e = graph_json(nodes, edges)
     n.write.mode("overwrite").json(f"{path}/nodes")
     e.write.mode("overwrite").json(f"{path}/edges")
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> str:
+    """GraphML if ids are plain and it can be written, else JSON folders; returns which."""
+    try:
+        write_graphml(nodes, edges, path)
+        return "graphml"
+    except (OSError, ValueError):
+        write_json(nodes, edges, f"{path}.json")
+        return "json"

@@ -58,3 +58,8 @@ def write_proof_report(proofs: DataFrame, path: str) -> None:
 def script_with_assertions(content: Column, checker_file: str) -> Column:
     """A prover script whose analyze line also reads the checker; ``-v2k`` becomes ``-sv12``."""
     return F.regexp_replace(content, r"analyze -v2k ([^\n]*)", f"analyze -v2k $1\nanalyze -sv12 {checker_file}")
+
+
+def write_texts(documents: DataFrame, path: str) -> None:
+    """A folder of text for each document, by its id."""
+    documents.select("doc_id", "text").write.mode("overwrite").partitionBy("doc_id").text(path)

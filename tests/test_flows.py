@@ -15,6 +15,7 @@ from specweave.operators import replies as R
 from specweave.operators import rtl
 from specweave.plans import build_kg, gen_plan, samples, use_kg
 from specweave.plans.results import summarise
+from specweave.session import Stages
 from specweave.sinks import graphs as SG
 from specweave.sinks import results as SR
 from specweave.sources import documents as D
@@ -212,3 +213,17 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select doc_id, count(*) n from chunks group by doc_id order by doc_id").collect() == [("a", 3), ("b", 1)]
+
+
+def test_stage_times_and_texts(spark, tmp_path):
+    t = Stages()
+    with t.stage("a"):
+        pass
+    with pytest.raises(ValueError), t.stage("a"):
+        pass
+    assert t.seconds["a"] >= 0
+    SR.write_texts(spark.createDataFrame([("x", "body")], "doc_id string, text string"), str(tmp_path / "t"))
+    assert next((tmp_path / "t" / "doc_id=x").glob("*.txt")).read_text() == "body\n"
+    n, e = spark.createDataFrame([("a",)], "node_id string"), spark.createDataFrame([("a", "a")], "src string, dst string")
+    assert SG.write_graph(n, e, str(tmp_path / "g.xml")) == "graphml"
+    assert SG.write_graph(n, e, str(tmp_path / "no" / "g.xml")) == "json"

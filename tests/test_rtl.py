@@ -129,3 +129,12 @@ def test_links(spark):
     names = spark.createDataFrame([("1", "clk"), ("2", "a.b"), ("3", "c+"), ("4", "ab")], "name_id string, name string")
     texts = spark.createDataFrame([("x", "The CLK and (a.b) but not c++."), ("y", "aclk axb")], "text_id string, text string")
     assert rows(K.name_hits(names, texts), "name_id", "text_id") == [("1", "x"), ("2", "x"), ("3", "x")]
+
+
+def test_summaries_and_relationships(spark):
+    facts = rtl.facts(samples.table(spark, "rtl"))
+    got = rtl.design_summary({k: facts[k] for k in ("modules", "ports", "instances")}).first()
+    assert (got["n_modules"], got["n_ports"], got["n_instances"]) == (3, 15, 2)
+    near = {(r["source"], r["target"]) for r in rtl.signal_relationships(facts["dataflow"], rtl.primary_signals(facts["ports"])).collect()}
+    assert ("bus_ctl.req", "bus_ctl.go") in near and ("bus_top.clk", "bus_top.ack") not in near
+    assert rtl.module_port_names(facts["modules"], facts["ports"]).count() == 3 * 10
