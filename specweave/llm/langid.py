@@ -19,6 +19,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,11 +114,12 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(own[at])], ["lang", "gram", "n"])
 
     # at most languages x 65,536 rows reach the driver
-    got = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(got["lang"].unique())
+    got = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(got.column("lang").unique().to_pylist())
     counts = np.full((1 << BITS, len(langs)), SMOOTH)
     if len(langs):
-        np.add.at(counts, (got["gram"].to_numpy(np.int64), got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)), got["n"].to_numpy(float))
+        index = pc.index_in(got.column("lang"), pa.array(langs))
+        np.add.at(counts, (got.column("gram").to_numpy(), index.to_numpy()), got.column("n").to_numpy())
     return langs, counts / counts.sum(0)
 
 

@@ -6,12 +6,11 @@ unlabelled documents it is surest of, in the proportions of the classes, and han
 each view's margin is calibrated on labelled documents kept out of training (Platt scaling), and the two are combined
 by adding their evidence, that is calibrated log-odds less those of the prior.
 
-The features are made in one Arrow pass over whole texts and written to the scratch folder. The fit uses a bounded
-sample: at most about ``MOST_LABELLED`` labelled and ``MOST_POOL`` unlabelled documents, picked by a hash of the id; every document
-is scored.
+The fit uses a bounded sample: at most about ``MOST_LABELLED`` labelled and ``MOST_POOL`` unlabelled documents, picked by a
+hash of the id. Then every document is scored in one Arrow pass over whole texts, without a shuffle; ``keep_good`` filters in that pass.
 
 Defined cases: null text counts as empty; null metadata is a value of its own; labels that are null or whose document is
-missing are ignored, of several labels of a document the lowest counts; a document with a null id is scored but never labelled; without
+missing are ignored, of several labels of a document the lowest counts; a document with a null id is scored but takes no part in the fit; without
 labels of both classes every score is 0.5 and everything is accepted; rows that share an id are separate rows; an
 empty table gives an empty result; other columns are carried along untouched by ``keep_good``.
 """
@@ -22,9 +21,8 @@ import functools
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specweave.llm.common import table, written
@@ -84,16 +82,30 @@ def meta_features(source: str | None, lang: str | None, size: int | None) -> np.
     return out
 
 
-def features(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", lang_col="lang", size_col="n_chars") -> DataFrame:
+COLUMNS = ("doc_id", "text", "source", "lang", "n_chars")
+
+
+def _views(batch: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    """Both views of a batch that has COLUMNS 1 to 4 under the names _q_1 to _q_4."""
+    text, source, lang, size = (batch.column(f"_q_{i}") for i in range(1, 5))
+    views = [text_features(x.as_py()) for x in text], [meta_features(*x) for x in zip(source.to_pylist(), lang.to_pylist(), size.to_pylist(), strict=True)]
+    return [np.stack(v) if v else np.empty((0, w), np.float32) for v, w in zip(views, (TEXT_FEATURES, META_SLOTS + 2), strict=True)]
+
+
+def _inputs(docs: DataFrame, columns: tuple[str, ...]) -> list[Column]:
+    kinds = ("string", "string", "string", "long")
+    return [F.col(c).cast(k).alias(f"_q_{i + 1}") for i, (c, k) in enumerate(zip(columns[1:], kinds, strict=True))]
+
+
+def features(docs: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """(id, text_view, meta_view) with the views as arrays of floats."""
 
     def run(batches):
         for batch in batches:
-            views = [text_features(x.as_py()) for x in batch.column(1)], [meta_features(*x) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-            lists = [pa.ListArray.from_arrays(np.arange(0, batch.num_rows + 1, dtype=np.int32) * w, np.concatenate(v) if v else np.empty(0, np.float32)) for v, w in zip(views, (TEXT_FEATURES, META_SLOTS + 2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["id", "text_view", "meta_view"])
+            lists = [pa.ListArray.from_arrays(np.arange(0, batch.num_rows + 1, dtype=np.int32) * v.shape[1], v.ravel()) for v in _views(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], ["id", "text_view", "meta_view"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"), F.col(source_col).cast("string"), F.col(lang_col).cast("string"), F.col(size_col).cast("long"))
+    rows = docs.select(F.col(columns[0]).alias("id"), *_inputs(docs, columns))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, text_view array<float>, meta_view array<float>")
 
 
@@ -190,43 +202,47 @@ class CoTrained:
         return [1 / (1 + np.exp(-np.clip(o, -30, 30))) for o in odds]
 
 
-def _stacked(frame: pd.DataFrame) -> list[np.ndarray]:
-    return [np.stack(frame[c].to_list()) if len(frame) else np.empty((0, w), np.float32) for c, w in (("text_view", TEXT_FEATURES), ("meta_view", META_SLOTS + 2))]
+def _stacked(sample: pa.Table) -> list[np.ndarray]:
+    return [sample.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, w) for c, w in (("text_view", TEXT_FEATURES), ("meta_view", META_SLOTS + 2))]
 
 
-def fit(rows: DataFrame, labels: DataFrame, label_col: str = "quality", most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL) -> CoTrained:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL, columns: tuple[str, ...] = COLUMNS) -> CoTrained:
+    """The classifier from ``docs`` and ``labels(doc_id, quality)``; only ids and labels of all documents are joined."""
     labels = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id").alias("id")).agg(F.min(label_col).alias("y"))
-    marked = rows.join(labels, "id", "left").withColumn("y", F.coalesce("y", F.lit(-1)).cast("int")).withColumn("known", F.col("y") >= 0)
-    counts = {r["known"]: r["n"] for r in marked.groupBy("known").agg(F.count("*").alias("n")).collect()}
+    ids = docs.select(F.col(columns[0]).alias("id")).where("id is not null").join(labels, "id", "left")
+    known, total = ids.agg(F.count("y"), F.count("*")).first()
+    rates = [1_000_000 * min(1.0, most / max(1, n)) for most, n in ((most_labelled, known), (most_pool, total - known))]
     draw = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1_000_000))
-    rate = lambda known, most: F.lit(1_000_000 * min(1.0, most / max(1, counts.get(known, 0))))
-    sample = marked.where(draw < F.when(F.col("known"), rate(True, most_labelled)).otherwise(rate(False, most_pool)))
-    sample = sample.toPandas().sort_values("id", kind="stable", ignore_index=True)  # about most_labelled + most_pool rows
-    return CoTrained(_stacked(sample), sample["y"].to_numpy())
+    some = docs.where(F.col(columns[0]).isNotNull() & (F.pmod(F.xxhash64(columns[0], F.lit(23)), F.lit(1_000_000)) < max(rates)))
+    sample = written(features(some, columns), "quality-sample").join(labels, "id", "left")
+    sample = sample.where(draw < F.when(F.col("y").isNotNull(), rates[0]).otherwise(rates[1])).withColumn("y", F.coalesce("y", F.lit(-1)).cast("int"))
+    table = sample.toArrow().sort_by("id")  # about most_labelled + most_pool rows
+    return CoTrained(_stacked(table), table.column("y").to_numpy())
 
 
-def score(rows: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, p_text, p_meta, score, accepted)."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """(doc_id, p_text, p_meta, score, accepted), one row a document."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, columns=columns))
 
-    def run(frames):
-        for frame in frames:
-            p_text, p_meta, both = sent.value.scores(_stacked(frame))
-            yield pd.DataFrame({"id": frame["id"], "p_text": p_text, "p_meta": p_meta, "score": both, "accepted": both >= threshold})
+    def run(batches):
+        for batch in batches:
+            p_text, p_meta, both = sent.value.scores(_views(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p_text), pa.array(p_meta), pa.array(both), pa.array(both >= threshold)], ["doc_id", "p_text", "p_meta", "score", "accepted"])
 
-    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, p_text double, p_meta double, score double, accepted boolean")
+    rows = docs.select(F.col(columns[0]).alias("doc_id"), *_inputs(docs, columns))
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, p_text double, p_meta double, score double, accepted boolean")
 
 
-def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, p_text, p_meta, score, accepted), one row a document."""
-    rows = written(features(docs), "quality")
-    return score(rows, fit(rows, labels), threshold).withColumnRenamed("id", "doc_id")
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """The rows of ``docs`` that are accepted, with all their columns."""
+    sent, names = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, columns=columns)), docs.columns
 
+    def run(batches):
+        for batch in batches:
+            good = sent.value.scores(_views(batch))[2] >= threshold
+            yield batch.select(names).filter(pa.array(good))
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are accepted, with all their columns; rows with a null id stay."""
-    gone = judged(docs, labels, threshold).where("not accepted and doc_id is not null").select(F.col("doc_id").alias("_q_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_q_gone"), "left_anti")
+    return docs.select("*", *_inputs(docs, columns)).mapInArrow(run, docs.schema)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
