@@ -27,6 +27,7 @@ from specweave.sinks import graphs as SG
 from specweave.sinks import results as SR
 from specweave.sources import documents as D
 from specweave.sources import results as SO
+from specweave.sources.settings import Settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -875,4 +876,5 @@ def test_plans(spark, sf):
     files = samples.table(spark, "rtl")
     n, e = gen_plan.design_graph(files, samples.table(spark, "spec_nodes"), samples.table(spark, "spec_edges"))
     docs = samples.table(spark, "spec_nodes").select(F.col("node_id").alias("doc_id"), "text")
-    return gen_plan.plan(docs, rtl.design_signals(files), n, e)["plans"]
+    use = Settings(chunk_sizes=(50, 100), overlap_ratios=(0.2,), max_path_depth=3)
+    return gen_plan.plan(docs, rtl.design_signals(files), n, e, use)["plans"]
