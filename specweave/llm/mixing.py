@@ -26,6 +26,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL = 1.5
 MOST_COPIES = 2.0
 SEED = "mix-1"
+#: Sources are keys ``s:<source>``, the null source this one: without nulls, joins and windows share a partitioning.
+NO_SOURCE = "none"
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MOST_COPIES) -> DataFrame:
@@ -35,10 +37,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float
     order of cap over weight, each as far as its cap, the rest at one common level. That is where resharing the excess
     by weight ends. The table has a row a source and so the windows over all of it are small.
     """
-    order = W.orderBy(F.col("_m_source").isNull(), F.col("_m_source").cast("binary"))
+    order = W.orderBy(F.col("_m_source") == NO_SOURCE, F.col("_m_source").cast("binary"))
     share = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
     caps = sizes.withColumn("w", share).withColumn("cap", most * F.col("source_size"))
-    by_level = W.orderBy(F.col("cap") / F.col("w"), F.col("_m_source").isNull(), F.col("_m_source").cast("binary"))
+    by_level = W.orderBy(F.col("cap") / F.col("w"), F.col("_m_source") == NO_SOURCE, F.col("_m_source").cast("binary"))
     before = by_level.rowsBetween(W.unboundedPreceding, -1)
     onward = by_level.rowsBetween(0, W.unboundedFollowing)
     level = caps.select(
@@ -64,7 +66,7 @@ CELL = ("_m_source", *(c for level in LEVELS for c in level))
 
 def _celled(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, *more: Column) -> DataFrame:
     size = docs.select(
-        F.col(id_col).alias("_m_id"), F.col(source_col).cast("string").alias("_m_source"),
+        F.col(id_col).alias("_m_id"), F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit(NO_SOURCE)).alias("_m_source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_m_size"), *more,
     )
     size = size.withColumns({"_m_hash": F.md5(F.concat_ws("|", F.lit(seed), F.col("_m_id").cast("string"))), "_m_bits": F.concat(F.bin("_m_size"), F.lit("000000000"))})
@@ -78,10 +80,6 @@ def _celled(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     )
 
 
-def _same(cols) -> list[Column]:
-    return [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cols]
-
-
 def _counted(rows: DataFrame, cells_of: DataFrame, weights, total: float, most: float, seed: str) -> DataFrame:
     """``rows`` with source_size, target and n_copies; ``cells_of``: the same rows, for the counts."""
     goal = targets(cells_of.groupBy("_m_source").agg(F.sum("_m_size").alias("source_size")), weights, total, most)
@@ -91,14 +89,14 @@ def _counted(rows: DataFrame, cells_of: DataFrame, weights, total: float, most:
         parent, keys = keys, [*keys, *level]
         own = counts.groupBy(*keys).agg(F.sum("n").alias("n"))
         own = own.select(*keys, (F.sum("n").over(W.partitionBy(*parent).orderBy(*level)) - F.col("n")).alias("_m_before"))
-        start = own.alias("l").join(start.alias("r"), _same(parent)).select(*[F.col(f"l.{c}") for c in keys], (F.col("_m_before") + F.col("_m_start")).alias("_m_start"), "source_size", "target", "copies")
+        start = own.join(start, parent).select(*keys, (F.col("_m_before") + F.col("_m_start")).alias("_m_start"), "source_size", "target", "copies")
     ranked = rows.withColumn("_m_rank", F.row_number().over(W.partitionBy(*CELL).orderBy("_m_id", "_m_tie")))
-    draw = F.md5(F.concat_ws("|", F.lit(seed), F.lit("offset"), F.coalesce(F.concat(F.lit("s:"), F.col("l._m_source")), F.lit("none"))))
+    draw = F.md5(F.concat_ws("|", F.lit(seed), F.lit("offset"), F.col("_m_source")))
     offset = F.conv(F.substring(draw, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     upto = F.col("_m_start") + F.col("_m_rank")
     crossed = F.floor(offset + F.col("copies") * upto) - F.floor(offset + F.col("copies") * (upto - 1))
     n_copies = F.least(crossed, F.ceil(F.lit(most))).cast("int").alias("n_copies")
-    return ranked.alias("l").join(start.alias("r"), _same(CELL)).select("l.*", "source_size", "target", n_copies)
+    return ranked.join(start, list(CELL)).select(*ranked.columns, "source_size", "target", n_copies)
 
 
 def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, total=TOTAL, most=MOST_COPIES, seed: str = SEED) -> DataFrame:
