@@ -30,9 +30,13 @@ def scratch_folder(spark: SparkSession) -> str:
 _SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the scratch folder and read it back. The shuffle files of the write go with it."""
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write a table into the scratch folder and read it back. The shuffle files of the write go with it.
+
+    narrow: rows of a few bytes made by many tasks; they are gathered first, so that the table has few files.
+    """
     spark = df.sparkSession
+    df = df.hint("rebalance") if narrow else df
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k) for k in _SETTINGS}
     for k, v in _SETTINGS.items():
