@@ -101,7 +101,7 @@ def _counted(rows: DataFrame, cells_of: DataFrame, weights, total: float, most:
 
 def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, total=TOTAL, most=MOST_COPIES, seed: str = SEED) -> DataFrame:
     """One row a document: id, size, source_size, target, n_copies (0 to ``most``), taken."""
-    rows = written(_celled(docs, id_col, text_col, source_col, seed, F.monotonically_increasing_id().alias("_m_tie")), "mix")
+    rows = written(_celled(docs, id_col, text_col, source_col, seed, F.monotonically_increasing_id().alias("_m_tie")), "mix", True)
     return _counted(rows, rows, weights, total, most, seed).select(
         F.col("_m_id").alias(id_col), F.col("_m_size").alias("size"), "source_size", "target",
         (F.col("n_copies") * F.col("_m_size")).cast("long").alias("taken"), "n_copies",
@@ -109,12 +109,24 @@ def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
 
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, total=TOTAL, most=MOST_COPIES, seed: str = SEED) -> DataFrame:
-    """The mix itself: each row of ``docs``, all its columns, as often as it is taken."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = _celled(docs, id_col, text_col, source_col, seed, whole.alias("_m_row"), F.xxhash64(whole).alias("_m_tie"))
-    cells_of = written(_celled(docs, id_col, text_col, source_col, seed), "mix-cells")
-    taken = _counted(rows, cells_of, weights, total, most, seed).where("n_copies > 0")
-    return taken.withColumn("_m_copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select("_m_row.*")
+    """The mix itself: each row of ``docs``, all its columns, as often as it is taken.
+
+    Copies are counted on narrow rows and handed back by two hashes of the whole row. The join hashes the narrow side, so
+    that texts are shuffled once and never sorted; only rows that are equal in all columns are numbered, to share out their copies.
+    """
+    names = docs.columns
+    whole = F.struct(*[F.col(f"`{c}`") for c in names])
+    mark = [F.xxhash64(whole).alias("_m_tie"), F.xxhash64(F.lit(1), whole).alias("_m_tie2")]
+    rows = written(_celled(docs, id_col, text_col, source_col, seed, *mark), "mix-rows", True)
+    per_row = _counted(rows, rows, weights, total, most, seed).groupBy("_m_tie", "_m_tie2").agg(F.sum("n_copies").alias("_m_copies"), F.count("*").alias("_m_equal"))
+    per_row = written(per_row, "mix-copies", True)
+    taken = docs.select("*", *mark).join(per_row.where("_m_copies > 0").hint("shuffle_hash"), ["_m_tie", "_m_tie2"])
+    copies = F.col("_m_copies")
+    if not per_row.where("_m_equal > 1").isEmpty():
+        place = F.row_number().over(W.partitionBy("_m_tie", "_m_tie2").orderBy(F.lit(0)))
+        copies = F.floor(copies / F.col("_m_equal")) + F.when(place <= F.pmod(copies, F.col("_m_equal")), 1).otherwise(0)
+    taken = taken.withColumn("_m_copies", copies.cast("int")).where("_m_copies > 0")
+    return taken.withColumn("_m_copy", F.explode(F.sequence(F.lit(1), F.col("_m_copies")))).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op7_mix(spark, sf_dir: str) -> DataFrame:

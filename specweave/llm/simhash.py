@@ -163,10 +163,10 @@ def class_links(classes: DataFrame, radius: int = RADIUS, leaf: int = LEAF, tile
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id), one row a document."""
-    rows = written(fingerprints(docs, id_col, text_col, width), "simhash")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
+    rows = written(fingerprints(docs, id_col, text_col, width), "simhash", True)
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes", True)
     found = components(class_links(classes, radius)).withColumnRenamed("node", "rep")
-    homes = written(classes.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-homes")
+    homes = written(classes.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-homes", True)
     discard(classes)
     return rows.join(homes, "fp").select("doc_id", "fp", "component_id")
 
@@ -174,7 +174,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the smallest id; rows with a null id stay."""
     gone = near_groups(docs, id_col, text_col, width, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_s_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_s_gone"), "left_anti")
+    # hashing the narrow side spares sorting the texts
+    return docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_s_gone"), "left_anti")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
