@@ -52,7 +52,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row a document: id, keep_id, group_size, kept, text_sha256."""
     hashed = written(
         docs.select(F.col(id_col).alias("_x_id"), *_hashed(F.col(text_col), slots), F.monotonically_increasing_id().alias("_x_row")),
-        "exact",
+        "exact", True
     )
     marked = _marked(hashed, repeated_slots(hashed))
     maybe = marked.where("_x_maybe")
@@ -60,7 +60,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.min(F.struct(F.col("_x_id").isNull().alias("n"), F.col("_x_id").alias("i"), F.col("_x_row").alias("r"))).alias("_x_first"),
         F.count("*").alias("_x_n"),
     )
-    groups = written(groups, "exact-groups")  # so that the join is one of its own, which splits a hot group
+    groups = written(groups, "exact-groups", True)  # so that the join is one of its own, which splits a hot group
     shuffled = maybe.join(groups, "_x_sha").select(
         F.col("_x_id").alias(id_col), F.col("_x_first.i").alias("keep_id"), F.col("_x_n").alias("group_size"),
         (F.col("_x_first.r") == F.col("_x_row")).alias("kept"), F.col("_x_sha").alias("text_sha256"),
@@ -75,8 +75,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the smallest id."""
     names = docs.columns
-    hashed = written(docs.select(*_hashed(F.col(text_col), slots)), "exact-slots")
-    marked = _marked(docs.select("*", *_hashed(F.col(text_col), slots)), written(repeated_slots(hashed), "exact-filter"))
+    hashed = written(docs.select(*_hashed(F.col(text_col), slots)), "exact-slots", True)
+    marked = _marked(docs.select("*", *_hashed(F.col(text_col), slots)), written(repeated_slots(hashed), "exact-filter", True))
     row = F.struct(*[F.col(f"`{c}`") for c in names])
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(row))
     firsts = marked.where("_x_maybe").groupBy("_x_sha").agg(F.min_by(row, order).alias("_x_row")).select("_x_row.*")

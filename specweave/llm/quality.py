@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_lab
     rates = [1_000_000 * min(1.0, most / max(1, n)) for most, n in ((most_labelled, known), (most_pool, total - known))]
     draw = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1_000_000))
     some = docs.where(F.col(columns[0]).isNotNull() & (F.pmod(F.xxhash64(columns[0], F.lit(23)), F.lit(1_000_000)) < max(rates)))
-    sample = written(features(some, columns), "quality-sample").join(labels, "id", "left")
+    sample = written(features(some, columns), "quality-sample", True).join(labels, "id", "left")
     sample = sample.where(draw < F.when(F.col("y").isNotNull(), rates[0]).otherwise(rates[1])).withColumn("y", F.coalesce("y", F.lit(-1)).cast("int"))
     table = sample.toArrow().sort_by("id")  # about most_labelled + most_pool rows
     return CoTrained(_stacked(table), table.column("y").to_numpy())

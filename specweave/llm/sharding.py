@@ -124,7 +124,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             F.col(id_col).alias("_b_id"), (F.octet_length(text) + HEADER).cast("long").alias("_b_size"), F.crc32(text.cast("binary")).alias("_b_crc"),
             F.xxhash64(text).alias("_b_key"), F.monotonically_increasing_id().alias("_b_row"),
         ),
-        "pack",
+        "pack", True
     )
 
 
@@ -139,7 +139,7 @@ def _placed(rows: DataFrame, share: int, place) -> DataFrame:
         piece = F.when(F.col("_b_key") == key, F.pmod(F.xxhash64(F.col("_b_id"), F.lit(5)), F.lit(n)).cast("int")).otherwise(piece)
     rows = rows.withColumn("_b_piece", piece)
     units = rows.groupBy("_b_key", "_b_piece").agg(F.sum("_b_size").alias("bytes")).withColumn("_b_class", F.expr(_rounded("bytes"))).withColumn("_b_cell", F.pmod(F.col("_b_key") + F.col("_b_piece"), F.lit(64)).cast("int"))
-    units = written(units, "pack-units")
+    units = written(units, "pack-units", True)
     cells = units.groupBy("_b_class", "_b_cell").agg(F.count("*").alias("n"))
     runs = place([(r["_b_class"], r["n"]) for r in cells.groupBy("_b_class").agg(F.sum("n").alias("n")).collect()])
     upto: dict[int, int] = {}
@@ -158,7 +158,7 @@ def _placed(rows: DataFrame, share: int, place) -> DataFrame:
 
 
 def _slotted(placed: DataFrame) -> DataFrame:
-    placed = written(placed.withColumn("_b_cell", F.pmod(F.xxhash64("_b_id", F.lit(3)), F.lit(128)).cast("int")), "pack-placed")
+    placed = written(placed.withColumn("_b_cell", F.pmod(F.xxhash64("_b_id", F.lit(3)), F.lit(128)).cast("int")), "pack-placed", True)
     cells = placed.groupBy("shard", "_b_cell").agg(F.count("*").alias("n"))
     cells = cells.withColumn("_b_before", F.sum("n").over(W.partitionBy("shard").orderBy("_b_cell")) - F.col("n")).drop("n")
     inside = F.row_number().over(W.partitionBy("shard", "_b_cell").orderBy("_b_id", "_b_row")) - 1
