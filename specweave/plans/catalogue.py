@@ -22,7 +22,7 @@ from specweave.operators import knowledge_graph as K
 from specweave.operators import replies as R
 from specweave.operators import retrieval as V
 from specweave.operators import rtl
-from specweave.plans import gen_plan, samples
+from specweave.plans import planning, samples
 from specweave.sinks import graphs as SG
 from specweave.sinks import results as SR
 from specweave.sources import documents as D
@@ -860,7 +860,7 @@ def rtl_file_order(spark, sf):
 
 @query()
 def rtl_knowledge_graph(spark, sf):
-    n, e = gen_plan.design_graph(samples.table(spark, "rtl"), samples.table(spark, "spec_nodes"), samples.table(spark, "spec_edges"))
+    n, e = planning.design_graph(samples.table(spark, "rtl"), samples.table(spark, "spec_nodes"), samples.table(spark, "spec_edges"))
     return e.select("src", "dst", F.coalesce("relationship", "relation").alias("relation"))
 
 
@@ -874,7 +874,7 @@ def checker_and_bind(spark, sf):
 @query()
 def test_plans(spark, sf):
     files = samples.table(spark, "rtl")
-    n, e = gen_plan.design_graph(files, samples.table(spark, "spec_nodes"), samples.table(spark, "spec_edges"))
+    n, e = planning.design_graph(files, samples.table(spark, "spec_nodes"), samples.table(spark, "spec_edges"))
     docs = samples.table(spark, "spec_nodes").select(F.col("node_id").alias("doc_id"), "text")
     use = Settings(chunk_sizes=(50, 100), overlap_ratios=(0.2,), max_path_depth=3)
-    return gen_plan.plan(docs, rtl.design_signals(files), n, e, use)["plans"]
+    return planning.plan(docs, rtl.design_signals(files), n, e, use)["plans"]

@@ -13,7 +13,7 @@ from specweave.operators import inference as I
 from specweave.operators import knowledge_graph as K
 from specweave.operators import replies as R
 from specweave.operators import rtl
-from specweave.plans import build_kg, gen_plan, samples, use_kg
+from specweave.plans import build_kg, planning, samples, use_kg
 from specweave.plans.results import summarise
 from specweave.session import Stages
 from specweave.sinks import graphs as SG
@@ -65,7 +65,7 @@ def test_rtl_files(spark, tmp_path):
 
 
 def test_graphml_round_trip(spark, tmp_path):
-    nodes, edges = gen_plan.design_graph(samples.table(spark, "rtl"), samples.table(spark, "spec_nodes"), samples.table(spark, "spec_edges"))
+    nodes, edges = planning.design_graph(samples.table(spark, "rtl"), samples.table(spark, "spec_nodes"), samples.table(spark, "spec_edges"))
     path = str(tmp_path / "g.graphml")
     SG.write_graphml(nodes, edges, path)
     n, e = graphml.as_graph(*graphml.read_graphml(spark, path))
@@ -82,7 +82,7 @@ def test_graphml_round_trip(spark, tmp_path):
 
 
 def test_design_graph_is_linked_and_connected(spark):
-    nodes, edges = gen_plan.design_graph(samples.table(spark, "rtl"), samples.table(spark, "spec_nodes"), samples.table(spark, "spec_edges"))
+    nodes, edges = planning.design_graph(samples.table(spark, "rtl"), samples.table(spark, "spec_nodes"), samples.table(spark, "spec_edges"))
     got = {(r["src"], r["dst"], r["relationship"]) for r in edges.where("relationship is not null").collect()}
     assert ("b1", "rtl_bus_ctl", "describes") in got and ("s1", "rtl_bus_top.clk", "references") in got
     assert ("design_root", "b1", "contains_spec") in got and ("design_root", "rtl_bus_mem", "contains_implementation") in got
@@ -177,11 +177,11 @@ def test_build_and_use_graph(spark):
 @pytest.mark.parametrize("generators", [("rag", "path"), ("motif", "community", "local_expansion", "guided_random_walk")])
 def test_whole_plan(spark, generators):
     files = samples.table(spark, "rtl")
-    nodes, edges = gen_plan.design_graph(files, samples.table(spark, "spec_nodes"), samples.table(spark, "spec_edges"))
+    nodes, edges = planning.design_graph(files, samples.table(spark, "spec_nodes"), samples.table(spark, "spec_edges"))
     docs = samples.table(spark, "spec_nodes").select(F.col("node_id").alias("doc_id"), "text")
     signals = spark.createDataFrame([("req",), ("ack",)], "signal string")
     use = settings.Settings(generators=generators, chunk_sizes=(50,), overlap_ratios=(0.2,), max_path_depth=3, walks=5, walk_budget=15)
-    out = gen_plan.plan(docs, signals, nodes, edges, use, files)
+    out = planning.plan(docs, signals, nodes, edges, use, files)
     assert {r["source_type"] for r in out["contexts"].collect()} == set(generators)
     assert {r["signal"] for r in out["plans"].collect()} == {"req", "ack"}
     assert out["svas"].count() == 2
