@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from specweave.functions.text import cosine, tokens, words
+from specweave.scratch import written
 
 SIZES = (50, 100, 200, 800, 3200)
 RATIOS = (0.2, 0.4)
@@ -99,13 +100,11 @@ def top_chunks(chunks: DataFrame, queries: DataFrame, k: int = PER_RETRIEVER, ke
     lengths and query terms are needed, so the vectors themselves are never joined with anything but the queries.
     """
     keys = list(keys)
-    counts = term_counts(chunks, keys, text_col)
-    total = chunks.agg(F.count("*").alias("n"))
-    idf = inverse_frequencies(counts, total)
-    query_w = weights(term_counts(queries, ["query_id"], "query"), idf, ["query_id"]).withColumnRenamed("w", "q")
-    raw = counts.join(idf, "term").select(*keys, "term", (F.col("tf") * F.col("idf")).alias("x"))
-    norm = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    hit = raw.join(query_w, "term").groupBy("query_id", *keys).agg(F.sum(F.col("x") * F.col("q")).alias("dot")).join(norm, keys)
+    counts = written(term_counts(chunks, keys, text_col), "terms")  # read for frequencies, lengths and matches
+    idf = written(inverse_frequencies(counts, chunks.agg(F.count("*").alias("n"))), "idf")
+    query_w = weights(term_counts(queries, ["query_id"], "query"), idf, ["query_id"]).withColumnRenamed("w", "q").join(idf.select("term", "idf"), "term")
+    norm = counts.join(idf, "term").groupBy(*keys).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
+    hit = counts.join(query_w, "term").groupBy("query_id", *keys).agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("dot")).join(norm, keys)
     hit = hit.select("query_id", *keys, (F.col("dot") / F.col("norm")).alias("sim"))
     latest = [F.desc(c) for c in keys]
     best = hit.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("sim", 12)), *latest))).where(F.col("_r") <= k).drop("_r")
