@@ -100,6 +100,7 @@ def top_chunks(chunks: DataFrame, queries: DataFrame, k: int = PER_RETRIEVER, ke
     lengths and query terms are needed, so the vectors themselves are never joined with anything but the queries.
     """
     keys = list(keys)
+    chunks = written(chunks.select(*keys, text_col), "chunks")
     counts = written(term_counts(chunks, keys, text_col), "terms")  # read for frequencies, lengths and matches
     idf = written(inverse_frequencies(counts, chunks.agg(F.count("*").alias("n"))), "idf")
     query_w = weights(term_counts(queries, ["query_id"], "query"), idf, ["query_id"]).withColumnRenamed("w", "q").join(idf.select("term", "idf"), "term")
