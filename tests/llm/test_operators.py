@@ -180,6 +180,18 @@ def test_embedding_against_brute_force(spark):
         assert (got["kept"] == (got["vec_id"] == got["component_id"])).all()
 
 
+def test_embedding_dense_group(spark):
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=(1, 64)) + rng.normal(size=(2000, 64)) * 0.28  # pairs at cosines around 0.92
+    rows = np.concatenate([hot, rng.normal(size=(4000, 64))])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = frame(embedding.near_links(df), "vec_id")
+    assert (got["n_links"].to_numpy() <= want).all()
+    assert got["n_links"].sum() >= 0.99 * want.sum()
+
+
 def brute_best_fit(sizes, capacity):
     bins = []
     for s in sorted(sizes, reverse=True):
