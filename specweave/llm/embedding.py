@@ -2,7 +2,8 @@
 
 Equal vectors collapse to one class each. Pivots are drawn from a bounded sample of classes, less those at a cosine of
 ``SEPARATE`` or more to another pivot, so a dense group has few pivots and shares their lists. Every class enters the inverted
-lists of its ``nearest`` nearest pivots and of those within the angle of ``TIGHT`` and of ``least`` together. A class within ``TIGHT`` of a
+lists of its nearest pivots (``nearest``, or the binary logarithm of the pivot count if that is more, so that recall does not
+fall as pivots are added) and of those within the angle of ``TIGHT`` and of ``least`` together. A class within ``TIGHT`` of a
 pivot needs the latter only: by the angle bound, whatever links with it is in that pivot's list, so these links are exact.
 Two classes are candidates if they share at least ``shared`` pivots; candidates are verified by cosine in double precision. A pair is
 counted in the list of its first shared pivot only. Lists longer than a tile are cut into chunks, each pair of chunks
@@ -73,7 +74,8 @@ def separated(points: np.ndarray, most: float = SEPARATE) -> np.ndarray:
 
 def described(x: np.ndarray, points: np.ndarray, nearest: int, least: float = LEAST) -> np.ndarray:
     """For each unit vector of ``x``, which pivots' lists it enters."""
-    s, k = x @ points.T, min(nearest, len(points))
+    s = x @ points.T
+    k = min(len(points), max(nearest, math.ceil(math.log2(max(1, len(points))))))
     enters = s >= math.cos(min(math.pi, TIGHT + math.acos(max(-1.0, min(1.0, least))))) - 1e-12
     loose = np.flatnonzero(s.max(1) < math.cos(TIGHT))
     enters[loose[:, None], np.argpartition(-s[loose], k - 1, axis=1)[:, :k]] = True

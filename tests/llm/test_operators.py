@@ -192,6 +192,17 @@ def test_embedding_dense_group(spark):
     assert got["n_links"].sum() >= 0.99 * want.sum()
 
 
+def test_embedding_recall_with_many_pivots():
+    rng = np.random.default_rng(6)
+    x, z, points = (rng.normal(size=(n, 64)) for n in (1000, 1000, 40_000))
+    x, points = (a / np.linalg.norm(a, axis=1, keepdims=True) for a in (x, points))
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    for pivots in (300, 4000, 40_000):
+        a, b = (embedding.described(v, points[:pivots], embedding.NEAREST) for v in (x, y))
+        assert ((a & b).sum(1) >= embedding.SHARED).mean() >= 0.995
+
+
 def brute_best_fit(sizes, capacity):
     bins = []
     for s in sorted(sizes, reverse=True):
