@@ -8,8 +8,9 @@ passage that very many documents share is sent about once a task.
 
 In a shard, segments whose minimizer nobody else has cannot repeat; the others are joined with separators and their
 suffixes sorted by external induced sorting (see ``induced``), which yields common prefixes along the way. A maximal run of
-suffixes that agree on 50 bytes is one string; it is removed wherever the document is not the smallest of the run. Shards
-stream through disk-backed queues, so a shard may outgrow memory.
+suffixes that agree on 50 bytes is one string; it is removed wherever the document is not the smallest of the run. The queues
+of the two passes are backed by disk; the text of a shard, its owners, names and removed positions are held in memory, and one
+minimizer is never split, so a shard must fit into the memory of its task.
 
 Defined cases: null counts as empty text; texts of fewer than 50 bytes are kept whole; documents with a null id are kept whole
 and take nothing from others; rows that share an id count as one document for comparing (no row of it removes from another),
