@@ -1,7 +1,8 @@
 """Language identification as a mixture of languages.
 
 Each language has smoothed probabilities of hashed character trigrams, counted on labelled documents: all of them, or, above
-``MOST_ROWS``, a hash sample of that size on average (a documented bound of the fit). A document is taken as draws from a mixture of
+``MOST_ROWS``, a hash sample of that size on average (a documented bound of the fit), in which a language has up to an equal
+share, and all of its documents if they are fewer. A document is taken as draws from a mixture of
 languages: expectation-maximisation estimates the proportions over its whole text; then the languages are added in the
 order of their proportions while the likelihood, less a penalty of ``PENALTY * ln(n)`` a language, rises. The language
 with the largest proportion within the chosen set is predicted; the score is its proportion in the full mixture.
@@ -95,12 +96,26 @@ def predict(text: str | None, probabilities: np.ndarray, penalty: float = PENALT
     return winner, float(np.clip(share[winner], 0, 1)), chosen
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_rows: int = MOST_ROWS) -> tuple[list[str], np.ndarray]:
+def sampled(rows: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """About ``most_rows`` of ``rows(id, lang, text)``: languages with fewer than an equal share whole, the others by a hash."""
+    sizes = sorted((r["n"], r["lang"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())  # a row a language
+    if sum(n for n, _ in sizes) <= most_rows:
+        return rows
+    left, rates = most_rows, []
+    for i, (n, lang) in enumerate(sizes):
+        quota = left / (len(sizes) - i)
+        left -= min(n, quota)
+        if n > quota:
+            rates += [F.lit(lang), F.lit(quota / n)]
+    # id and text pick a row, so reruns agree and copies of a text are drawn one by one
+    rate = F.coalesce(F.create_map(*rates)[F.col("lang")], F.lit(1.0))
+    return rows.where(F.pmod(F.xxhash64("id", "text", F.lit(17)), F.lit(1_000_000)) < 1_000_000 * rate)
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_rows: int = MOST_ROWS, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages in code point order and probabilities (n-gram hash x language)."""
-    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    n = rows.count()
-    if n > most_rows:  # a hash of the text picks them, so reruns agree
-        rows = rows.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1_000_000)) < F.lit(1_000_000 * most_rows / n))
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = sampled(rows, most_rows).select("lang", "text")
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}

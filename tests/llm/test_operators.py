@@ -266,6 +266,15 @@ def test_language_mixture(spark, docs):
     assert [langs[i] for i in langid.predict(parts["fr"], model)[2]] == ["fr"]
 
 
+def test_language_sample_keeps_rare_languages(spark):
+    rows = [(i, "one hot text", "aa") for i in range(1000)] + [(2000 + i, f"rare words {i}", f"r{i:02}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, _ = langid.train(df, most_rows=100)
+    assert langs == sorted({x for _, _, x in rows})
+    hot = langid.sampled(df.withColumnRenamed("doc_id", "id"), 100).where("lang = 'aa'").count()
+    assert 40 <= hot <= 120
+
+
 def test_quality(spark, small, docs):
     got = quality.op6_quality(spark, small).toPandas()
     labels = spark.read.parquet(f"{small}/labels.parquet").toPandas().merge(got, on="doc_id")
