@@ -4,7 +4,9 @@
 literal rank map. It gives the right ids, but not within the limits on whole corpora (see the README for figures): most distinct
 words of a corpus are rare, each costs tens of microseconds, and the ids must then be joined back to every place.
 ``encoded`` is therefore in a free style: Arrow batches of whole texts, each piece of the pattern merged by rank, ids
-decoded again by concatenating the binary pieces. It needs no shuffle, and its memory is one batch.
+decoded again by concatenating the binary pieces. It needs no shuffle, and its memory is one batch. The library matches the
+pattern by recursion and breaks down on very long white space; such runs are cut out at the places where the public pattern
+cuts them anyway, and merged as the single pieces that they are.
 
 The rank file is read on the driver from a path that is a parameter, and sent to the executors (a vocabulary is a few MB).
 
@@ -18,6 +20,7 @@ import base64
 import functools
 import hashlib
 import json
+import re
 import zlib
 
 import public_tokenizers
@@ -30,6 +33,8 @@ from specweave.llm.common import table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BUCKETS = 1 << 14
 NO_RANK = (1 << 31) - 1
+#: Unicode white space, as the pattern's \s has it, in runs that are long for the library (it fails between 700,000 and 1,000,000).
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{20000,}")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,6 +54,19 @@ def _coder(packed: bytes, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), [str(i) for i in range(len(pieces))], pieces
 
 
+def text_ids(coder, text: str, pattern: str) -> list[int]:
+    """Ids of a text. Of white space before a word the public pattern leaves the last character to the word, and takes the others as one piece."""
+    if pattern != public_tokenizers.PATTERN or len(text) < 20_000:
+        return coder.encode_ordinary(text)
+    ids, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += coder.encode_ordinary(text[at : run.start()])
+        ids += coder._core_bpe.encode_single_piece(text[run.start() : end].encode())
+        at = end
+    return ids + coder.encode_ordinary(text[at:])
+
+
 def encoded(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) and, if asked for, ids: one row a document."""
     with open(path, "rb") as f:
@@ -59,7 +77,7 @@ def encoded(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
         for batch in batches:
             ids, counts, hashes, decoded = [], [], [], []
             for x in batch.column(1):
-                own = coder.encode_ordinary(x.as_py() or "")
+                own = text_ids(coder, x.as_py() or "", pattern)
                 counts.append(len(own))
                 hashes.append(hashlib.sha256(",".join([names[i] for i in own]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join([pieces[i] for i in own])).hexdigest())
