@@ -11,7 +11,7 @@ only the last cells are sorted; documents of one size, such as many copies, are
 
 Defined cases: null text has no words; the null source is a source, and comes last; a source without words gets target
 0 and no copies; without any words all targets are 0; documents with the same id and text are separate rows, ranked
-arbitrarily among each other; an empty table gives an empty result.
+arbitrarily among each other; an empty table gives an empty result; other columns, of any name and type, are carried along by ``mix``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from specweave.llm.common import WORD, table, written
+from specweave.llm.common import WORD, columns_of, free_prefix, row_hashes, table, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL = 1.5
@@ -72,7 +72,7 @@ def _celled(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     size = size.withColumns({"_m_hash": F.md5(F.concat_ws("|", F.lit(seed), F.col("_m_id").cast("string"))), "_m_bits": F.concat(F.bin("_m_size"), F.lit("000000000"))})
     bits, hex_ = F.col("_m_bits"), lambda start, n: F.conv(F.substring("_m_hash", start, n), 16, 10).cast("int")
     return (
-        size.withColumn("_m_class", F.when(F.col("_m_size") == 0, 0).otherwise(F.least(F.lit(63), (F.length(bits) - 9) * 4 - 4 + _bits(bits, 2, 2))).cast("int"))
+        size.withColumn("_m_class", F.when(F.col("_m_size") == 0, 0).otherwise((F.length(bits) - 9) * 4 - 4 + _bits(bits, 2, 2)).cast("int"))
         .withColumn("_m_one", _bits(bits, 4, 2))
         .withColumn("_m_two", _bits(bits, 6, 4) * 16 + hex_(1, 1))
         .withColumn("_m_three", hex_(2, 2))
@@ -114,19 +114,21 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     Copies are counted on narrow rows and handed back by two hashes of the whole row. The join hashes the narrow side, so
     that texts are shuffled once and never sorted; only rows that are equal in all columns are numbered, to share out their copies.
     """
-    names = docs.columns
-    whole = F.struct(*[F.col(f"`{c}`") for c in names])
-    mark = [F.xxhash64(whole).alias("_m_tie"), F.xxhash64(F.lit(1), whole).alias("_m_tie2")]
+    p = free_prefix(docs, "_m_")
+    mark = [h.alias(c) for h, c in zip(row_hashes(docs, 0, 1), ("_m_tie", "_m_tie2"), strict=True)]
     rows = written(_celled(docs, id_col, text_col, source_col, seed, *mark), "mix-rows", True)
     per_row = _counted(rows, rows, weights, total, most, seed).groupBy("_m_tie", "_m_tie2").agg(F.sum("n_copies").alias("_m_copies"), F.count("*").alias("_m_equal"))
     per_row = written(per_row, "mix-copies", True)
-    taken = docs.select("*", *mark).join(per_row.where("_m_copies > 0").hint("shuffle_hash"), ["_m_tie", "_m_tie2"])
-    copies = F.col("_m_copies")
-    if not per_row.where("_m_equal > 1").isEmpty():
-        place = F.row_number().over(W.partitionBy("_m_tie", "_m_tie2").orderBy(F.lit(0)))
-        copies = F.floor(copies / F.col("_m_equal")) + F.when(place <= F.pmod(copies, F.col("_m_equal")), 1).otherwise(0)
-    taken = taken.withColumn("_m_copies", copies.cast("int")).where("_m_copies > 0")
-    return taken.withColumn("_m_copy", F.explode(F.sequence(F.lit(1), F.col("_m_copies")))).select(*[F.col(f"`{c}`") for c in names])
+    tie, tie2, n, equal = p + "tie", p + "tie2", p + "copies", p + "equal"
+    repeated = not per_row.where("_m_equal > 1").isEmpty()
+    per_row = per_row.where("_m_copies > 0").select(*[F.col(c).alias(p + c[3:]) for c in per_row.columns])
+    taken = docs.select("*", *[h.alias(c) for h, c in zip(mark, (tie, tie2), strict=True)]).join(per_row.hint("shuffle_hash"), [tie, tie2])
+    copies = F.col(n)
+    if repeated:
+        place = F.row_number().over(W.partitionBy(tie, tie2).orderBy(F.lit(0)))
+        copies = F.floor(copies / F.col(equal)) + F.when(place <= F.pmod(copies, F.col(equal)), 1).otherwise(0)
+    taken = taken.withColumn(n, copies.cast("int")).where(F.col(n) > 0)
+    return taken.withColumn(p + "copy", F.explode(F.sequence(F.lit(1), F.col(n)))).select(*columns_of(docs))
 
 
 def op7_mix(spark, sf_dir: str) -> DataFrame:
@@ -139,7 +141,7 @@ WITH d AS (
 ), b AS (
   SELECT *, CASE WHEN size = 0 THEN '0' ELSE bin(size) END || '000000000' AS x FROM d
 ), c AS (
-  SELECT *, CASE WHEN size = 0 THEN 0 ELSE least(63, (length(x) - 9) * 4 - 4 + 2 * substr(x, 2, 1)::INT + substr(x, 3, 1)::INT) END AS cls,
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE (length(x) - 9) * 4 - 4 + 2 * substr(x, 2, 1)::INT + substr(x, 3, 1)::INT END AS cls,
     2 * substr(x, 4, 1)::INT + substr(x, 5, 1)::INT AS one,
     16 * (8 * substr(x, 6, 1)::INT + 4 * substr(x, 7, 1)::INT + 2 * substr(x, 8, 1)::INT + substr(x, 9, 1)::INT) + ('0x' || substr(h, 1, 1))::INT AS two,
     ('0x' || substr(h, 2, 2))::INT AS three FROM b
