@@ -10,32 +10,41 @@ counted in the list of its first shared pivot only. Lists longer than a tile are
 being a task of bounded size, so a hot list is no hot task; no pair is dropped. A tile returns sums of link counts and a spanning
 forest of its links instead of the links, so a dense group costs rows in proportion to its members.
 
-Recall is that of the index (see the tests: over 0.99 on the test tables and in dense groups); there are no false links.
+Vectors are compared with those of their length, so each length has pivots of its own, and a length with few classes
+(fewer than ``FEW``, or than a thousandth of all) has one list instead, which is searched exactly. Pivots take ``PIVOT_BYTES`` at
+most, all lengths together, when they are broadcast.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing, nor do vectors of
-another length than the most common one; a null id never serves as a component; rows that share an id are separate
+There are no false links. Recall is that of the index; the tests hold it to 0.99 against brute force, on loose pairs, in dense
+groups and with several lengths. The test tables themselves hold no pair at a cosine of 0.9, and say nothing about it.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different
+lengths never link; a null id never serves as a component; rows that share an id are separate
 rows, an exact copy included; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.llm.common import components, table, written
+from specweave.llm.common import components, discard, table, written
 from specweave.llm.simhash import forest
 
 LEAST = 0.9
 NEAREST = 8
 SHARED = 1
-MOST_PIVOTS = 1 << 16
+MOST_PIVOTS, PIVOT_BYTES = 1 << 16, 64 << 20
+FEW = 64
 SEPARATE = 0.6
 TIGHT = math.radians(30)
 TILE = 2048
+WHOLE = 1 << 24  # the list of all vectors of a length has this number plus the length
 
 
 def _classed(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -115,27 +124,51 @@ def tile_links(values: list[bytes], rep: np.ndarray, size: np.ndarray, near: np.
     return count, *forest(a_all, b_all, len(rep))
 
 
+def pivot_sets(classes: DataFrame, pivots: int | None = None, few: int = FEW) -> dict[int, tuple[int, np.ndarray]]:
+    """For each length with many classes, the number of its first pivot and its pivots, unit vectors drawn by hash.
+
+    They number about 2 n^0.55 for n classes of a length (or ``pivots``), less those too near to another, within the limits.
+    """
+    sizes = classes.groupBy((F.length("v") / 8).cast("long").alias("l")).agg(F.count("*").alias("n"))
+    total = classes.count()
+    rows = sizes.where(F.col("n") >= max(few, total // 1000)).collect()  # a thousand lengths at most
+    wanted = {r["l"]: pivots or math.ceil(2 * r["n"] ** 0.55) for r in rows}
+    scale = min(1.0, MOST_PIVOTS / max(1, sum(wanted.values())), PIVOT_BYTES / max(1, sum(8 * length * k for length, k in wanted.items())))
+    rates = [F.lit(x) for r in rows for x in (r["l"], min(1.0, scale * wanted[r["l"]] / r["n"]))]
+    if not rates:
+        return {}
+    rate = F.coalesce(F.create_map(*rates)[(F.length("v") / 8).cast("long")], F.lit(0.0))
+    draw = F.pmod(F.xxhash64("v", F.lit(29)), F.lit(1 << 40)) / float(1 << 40)
+    sample = sorted(classes.where(draw < rate).select("v").toArrow().column(0).to_pylist(), key=lambda v: (len(v), v))
+    out, first = {}, 0
+    for length, own in itertools.groupby(sample, lambda v: len(v) // 8):
+        points = separated(_units(list(own)))
+        out[length] = first, points
+        first += len(points)
+    return out
+
+
 def near_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = LEAST, nearest: int = NEAREST, shared: int = SHARED, pivots: int | None = None, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row a vector."""
     rows = written(_classed(vectors, id_col, vec_col), "vectors")
     classes = written(rows.where("v is not null").groupBy("v").agg(F.count("*").alias("size"), F.min("vec_id").alias("rep")).withColumn("class", F.monotonically_increasing_id()), "vector-classes")
-    length = classes.groupBy(F.length("v").alias("l")).agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "l").first()
-    classes = classes.where(F.length("v") == (length["l"] if length else 0))
-    n = classes.count()
-    wanted = pivots or max(8, min(MOST_PIVOTS, math.ceil(2 * n**0.55)))
-    sample = classes.orderBy(F.xxhash64("v", F.lit(29)), "v").limit(wanted).select("v").toPandas()["v"].to_list()  # wanted vectors
-    points = separated(_units(sample)) if sample else np.empty((0, 1))
-    sent = rows.sparkSession.sparkContext.broadcast(points)
-    least_shared = min(shared, max(1, len(points)))
+    sent = rows.sparkSession.sparkContext.broadcast(pivot_sets(classes, pivots))
 
     def entered(batches):
-        points = sent.value
-        step = max(1, min(2048, (1 << 23) // max(1, len(points))))
+        sets = sent.value
         for batch in batches:
-            for part in [batch.slice(i, step) for i in range(0, batch.num_rows, step)]:
-                at, pivot = np.nonzero(described(_units(part.column(1).to_pylist()), points, nearest, least))
-                ends = np.searchsorted(at, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(ends, pivot.astype(np.int32))], ["class", "v", "size", "near"])
+            length = pc.divide(pc.binary_length(batch.column(1)), 8).to_numpy()
+            for own in np.unique(length).tolist():
+                same = batch.filter(pa.array(length == own))
+                first, points = sets.get(own, (WHOLE + own, None))
+                step = 4096 if points is None else max(1, (1 << 23) // max(len(points), own))
+                for part in [same.slice(i, step) for i in range(0, same.num_rows, step)]:
+                    if points is None:
+                        at, pivot = np.arange(part.num_rows), np.zeros(part.num_rows, np.int64)
+                    else:
+                        at, pivot = np.nonzero(described(_units(part.column(1).to_pylist()), points, nearest, least))
+                    ends = np.searchsorted(at, np.arange(part.num_rows + 1)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(ends, (pivot + first).astype(np.int32))], ["class", "v", "size", "near"])
 
     index = written(classes.select("class", "v", "size").mapInArrow(entered, "class long, v binary, size long, near array<int>"), "pivot-index")
     entries = index.withColumn("pivot", F.explode("near"))
@@ -155,7 +188,7 @@ def near_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         i, j = key[1].as_py(), key[2].as_py()
         if i != j and len(np.unique(side)) < 2:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "w": pa.array([], pa.int64())})
-        count, a, b = tile_links(values, rep, size, near, side, key[0].as_py(), least, least_shared)
+        count, a, b = tile_links(values, rep, size, near, side, key[0].as_py(), least, 1 if key[0].as_py() >= WHOLE else shared)
         own = np.flatnonzero(count)
         return pa.table({"a": np.concatenate([rep[own], rep[a]]), "b": pa.array([None] * len(own) + rep[b].tolist(), pa.int64()), "w": np.concatenate([count[own], np.zeros(len(a), np.int64)])})
 
@@ -167,6 +200,7 @@ def near_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     known = written(known.join(least_id, "c").select("v", (F.col("size") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), "component_id"), "vector-homes")
     with_class = rows.where("v is not null").join(known, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     without = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    discard(classes, index, found)
     return with_class.union(without).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

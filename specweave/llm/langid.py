@@ -38,7 +38,7 @@ def _folding() -> tuple[np.ndarray, np.ndarray]:
     """For each code point its lower case, and whether it is a letter."""
     lower = np.arange(0x110000, dtype=np.uint32)
     letter = np.zeros(0x110000, bool)
-    for i in [*range(0xD800), *range(0xE000, 0x110000)]:
+    for i in [*range(0xD800), *range(0xE000, 0x40000)]:
         c = chr(i)
         if c.isalpha():
             letter[i] = True

@@ -45,7 +45,7 @@ TEXT_FEATURES, META_FEATURES = 16, 4
 def _kinds() -> np.ndarray:
     """Code point classes: 0 other mark, 1 lower letter, 2 upper letter, 3 digit, 4 space, 5 line end, 6 plain punctuation."""
     out = np.zeros(0x110000, np.uint8)
-    for i in [*range(0xD800), *range(0xE000, 0x110000)]:
+    for i in [*range(0xD800), *range(0xE000, 0x40000)]:
         c = chr(i)
         if c.isalpha():
             out[i] = 2 if c.isupper() else 1

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.llm.common import components, discard, table, written
+from specweave.llm.common import components, discard, free_prefix, table, written
 
 WIDTH = 3
 RADIUS = 2
@@ -173,9 +173,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the smallest id; rows with a null id stay."""
-    gone = near_groups(docs, id_col, text_col, width, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_s_gone")).distinct()
+    key = free_prefix(docs, "_s_") + "gone"
+    gone = near_groups(docs, id_col, text_col, width, radius).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
     # hashing the narrow side spares sorting the texts
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_s_gone"), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(key), "left_anti")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
