@@ -47,32 +47,28 @@ OPENERS = ("module ", "function ", "task ", "always ", "initial ")
 CLOSERS = ("endmodule", "endfunction", "endtask")
 
 
-def code_pieces(text: str, size: int, overlap: int) -> list[str]:
-    """Chunks of whole lines; a line that opens or closes a block never starts a chunk. overlap: in lines."""
-    out, held, count = [], [], 0
-    for line in text.split("\n"):
-        n = len(line.split())
-        boundary = any(x in line for x in OPENERS + CLOSERS)
-        if count + n > size and not boundary:
-            if held:
-                out.append("\n".join(held))
-            held = held[len(held) - min(len(held), overlap) :]
-            count = sum(len(x.split()) for x in held)
-        held.append(line)
-        count += n
-    return [*out, "\n".join(held)] if held else out
-
-
 def chunk_code(files: DataFrame, size: int = 100, overlap: int = 20, id_col: str = "file", text_col: str = "text") -> DataFrame:
-    """(file, chunk_idx, chunk, n_words) by lines; stateful within a file, so in Arrow batches."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(i, k, c, len(c.split())) for i, t in zip(frame[id_col], frame[text_col], strict=True) for k, c in enumerate(code_pieces(t or "", size, overlap))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_idx", "chunk", "n_words"])
+    """(file, chunk_idx, chunk, n_words): whole lines, up to ``size`` words where a line may start a chunk; ``overlap`` in lines.
 
-    kind = dict(files.dtypes)[id_col]
-    return files.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, chunk_idx int, chunk string, n_words int")
+    A line that opens or closes a block starts no chunk. One fold over the lines of a file, each with its number of words and whether
+    it may start a chunk, finds the spans of lines; the texts are cut by span afterwards.
+    """
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    cut = files.select(id_col, lines.alias("_lines"))
+    free = " or ".join(f"contains(x, '{w}')" for w in OPENERS + CLOSERS)
+    marks = F.expr(f"transform(_lines, (x, i) -> struct(i as i, size(filter(split(x, '\\\\s+'), w -> w <> '')) as n, not ({free}) as free))")
+    back = f"greatest(s.a, x.i - {int(overlap)})"
+    full = f"x.free and s.held + x.n > {int(size)}"
+    spans = F.expr(f"""
+      aggregate(_marks, named_struct('a', 0, 'held', 0, 'spans', cast(array() as array<struct<a:int,b:int>>)),
+        (s, x) -> if({full},
+          named_struct('a', {back}, 'held', aggregate(slice(_marks, {back} + 1, x.i - {back}), x.n, (t, y) -> t + y.n),
+            'spans', if(x.i > s.a, concat(s.spans, array(named_struct('a', s.a, 'b', x.i))), s.spans)),
+          named_struct('a', s.a, 'held', s.held + x.n, 'spans', s.spans)),
+        s -> concat(s.spans, array(named_struct('a', s.a, 'b', size(_marks)))))""")
+    cut = cut.withColumn("_marks", marks).select(id_col, "_lines", F.posexplode(spans).alias("chunk_idx", "_span"))
+    text = F.array_join(F.slice("_lines", F.col("_span.a") + 1, F.col("_span.b") - F.col("_span.a")), "\n")
+    return cut.select(id_col, "chunk_idx", text.alias("chunk")).withColumn("n_words", F.size(words(F.col("chunk"))))
 
 
 def term_counts(chunks: DataFrame, keys: list[str], text_col: str = "chunk") -> DataFrame:
@@ -93,27 +89,92 @@ def weights(counts: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
     return raw.join(norm, keys).select(*keys, "term", (F.col("x") / F.col("norm")).alias("w"))
 
 
-def top_chunks(chunks: DataFrame, queries: DataFrame, k: int = PER_RETRIEVER, keys: tuple[str, ...] = ("doc_id", "chunk_idx"), text_col: str = "chunk") -> DataFrame:
-    """(query_id, keys, sim, rank): the ``k`` chunks nearest to each of ``queries(query_id, query)`` by TF-IDF cosine.
+def _ranked(hit: DataFrame, last: DataFrame, queries: DataFrame, keys: list[str], by: list[str], k: int) -> DataFrame:
+    """The ``k`` best of ``hit(by, query_id, keys, sim)`` for each ``by`` and query, filled up from ``last(by, keys)``."""
+    latest = [F.desc(c) for c in keys]
+    place = F.row_number().over(W.partitionBy(*by, "query_id").orderBy(F.desc(F.round("sim", 12)), *latest))
+    best = hit.select(*by, "query_id", *keys, "sim").withColumn("_r", place).where(F.col("_r") <= k).drop("_r")
+    fill = queries.select("query_id").crossJoin(F.broadcast(last)).select(*by, "query_id", *keys).join(best, [*by, "query_id", *keys], "left_anti").withColumn("sim", F.lit(0.0))
+    return best.unionByName(fill).withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def top_chunks(chunks: DataFrame, queries: DataFrame, k: int = PER_RETRIEVER, keys: tuple[str, ...] = ("doc_id", "chunk_idx"), text_col: str = "chunk", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, query_id, keys, sim, rank): the ``k`` chunks nearest to each of ``queries(query_id, query)`` by TF-IDF cosine.
 
-    Ties go to the later chunk. Chunks without a shared term fill up, latest first. Of the weights of all chunks only
-    lengths and query terms are needed, so the vectors themselves are never joined with anything but the queries.
+    Ties go to the later chunk. Chunks without a shared term fill up, latest first. ``by``: columns that tell separate tables of
+    chunks apart, each with its own idf. Of the weights of all chunks only lengths and query terms are needed.
     """
-    keys = list(keys)
-    chunks = written(chunks.select(*keys, text_col), "chunks")
-    counts = written(term_counts(chunks, keys, text_col), "terms")  # read for frequencies, lengths and matches
-    idf = written(inverse_frequencies(counts, chunks.agg(F.count("*").alias("n"))), "idf")
-    query_w = weights(term_counts(queries, ["query_id"], "query"), idf, ["query_id"]).withColumnRenamed("w", "q").join(idf.select("term", "idf"), "term")
-    norm = counts.join(idf, "term").groupBy(*keys).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
-    hit = counts.join(query_w, "term").groupBy("query_id", *keys).agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("dot")).join(norm, keys)
-    hit = hit.select("query_id", *keys, (F.col("dot") / F.col("norm")).alias("sim"))
-    latest = [F.desc(c) for c in keys]
-    best = hit.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("sim", 12)), *latest))).where(F.col("_r") <= k).drop("_r")
-    last = chunks.select(*keys).orderBy(*latest).limit(2 * k)  # at least k of them are not among the best
-    fill = queries.select("query_id").crossJoin(F.broadcast(last)).join(best, ["query_id", *keys], "left_anti").withColumn("sim", F.lit(0.0))
-    both = best.unionByName(fill)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("sim", 12)), *latest))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k)
+    keys, by = list(keys), list(by)
+    chunks = written(chunks.select(*by, *keys, text_col), "chunks")
+    counts = written(term_counts(chunks, [*by, *keys], text_col), "terms")  # read for frequencies, lengths and matches
+    n = chunks.groupBy(*by).agg(F.count("*").alias("n"))
+    df = counts.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    idf = (df.join(F.broadcast(n), by) if by else df.crossJoin(F.broadcast(n))).select(*by, "term", _idf(F.col("n"), F.col("df")).alias("idf"))
+    idf = written(idf, "idf")
+    norm = counts.join(idf, [*by, "term"]).groupBy(*by, *keys).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
+    query_w = _query_weights(queries, idf, by)
+    hit = counts.join(query_w, [*by, "term"]).groupBy(*by, "query_id", *keys).agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("dot")).join(norm, [*by, *keys])
+    hit = hit.withColumn("sim", F.col("dot") / F.col("norm"))
+    late = F.row_number().over(W.partitionBy(*by).orderBy(*[F.desc(c) for c in keys]))
+    last = chunks.select(*by, *keys).withColumn("_r", late).where(F.col("_r") <= 2 * k).drop("_r") if by else chunks.select(*keys).orderBy(*[F.desc(c) for c in keys]).limit(2 * k)
+    return _ranked(hit, last, queries, keys, by, k)  # at least k of the last are not among the best
+
+
+def _idf(n, df):
+    return F.log((1 + n) / (1 + df)) + 1
+
+
+def _query_weights(queries: DataFrame, idf: DataFrame, by: list[str]) -> DataFrame:
+    """(by, query_id, term, q, idf): weights of the queries' terms, each query's vector of length one."""
+    raw = term_counts(queries, ["query_id"], "query").join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(*by, "query_id")))
+    return raw.select(*by, "query_id", "term", (F.col("x") / norm).alias("q"), "idf")
+
+
+def top_windows(docs: DataFrame, queries: DataFrame, configs: list[tuple[int, int]], k: int = PER_RETRIEVER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(config, query_id, doc_id, chunk_idx, sim, rank): ``top_chunks`` over the chunks of ``chunk_words`` for each (size, overlap), without cutting them.
+
+    Texts are split into terms once. A document's term is one row with the places it stands at, and every chunk is a range of
+    places: document frequencies are sums of how many chunks of each configuration a row's places touch. Terms meet their
+    frequencies in one join, and are counted by chunk where their document is, so that only lengths of chunks are left to shuffle.
+    """
+    sizes = [(c, size, size - overlap) for c, (size, overlap) in enumerate(configs)]
+    split = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    terms = split.select("id", F.posexplode("w").alias("at", "word")).select("id", "at", F.explode(tokens(F.col("word"), 2)).alias("term"))
+    rows = written(terms.groupBy("id", "term").agg(F.array_sort(F.collect_list("at")).alias("at")), "places")
+
+    # chunks of step d that hold place p: from first(p) to p div d
+    first = lambda p, size, d: f"if({p} < {size}, 0, ({p} - {size}) div {d} + 1)"
+    touched = [
+        F.expr(f"aggregate(at, named_struct('n', 0L, 'u', -1L), (s, p) -> named_struct('n', s.n + greatest(0L, p div {d} - greatest(s.u + 1, {first('p', size, d)}) + 1), 'u', p div {d}), s -> s.n)").alias(f"df{c}")
+        for c, size, d in sizes
+    ]
+    df = rows.select("term", *touched).groupBy("term").agg(*[F.sum(f"df{c}").alias(f"df{c}") for c, _, _ in sizes])
+    df = written(df, "frequencies", True)
+    lengths = split.select("id", F.size("w").alias("n"))
+    total = lengths.agg(*[F.coalesce(F.sum(F.expr(f"(n - 1) div {d} + 1")), F.lit(0)).alias(f"n{c}") for c, _, d in sizes]).first()  # one row
+    wide = df.select("term", F.array(*[_idf(F.lit(total[f"n{c}"]), F.col(f"df{c}")) for c, _, _ in sizes]).alias("idfs"))
+    idf = wide.select("term", F.posexplode("idfs").alias("config", "idf"))
+    query_w = written(_query_weights(queries, idf, ["config"]), "query-weights", True)
+
+    ranges = F.array(*[F.struct(F.lit(c).alias("config"), F.lit(size).alias("size"), F.lit(d).alias("step")) for c, size, d in sizes])
+
+    def by_chunk(found: DataFrame, *more: str) -> DataFrame:
+        """(id, config, chunk_idx, term, more, tf) of rows (id, term, at, more); all places of a document are in one task."""
+        every = found.select("id", "term", *more, F.explode("at").alias("p")).select("id", "term", *more, "p", F.explode(ranges).alias("c")).select("id", "term", *more, "p", "c.*")
+        return every.select("id", "config", "term", *more, F.explode(F.expr(f"sequence({first('p', 'size', 'step')}, p div step)")).alias("chunk_idx")).groupBy("id", "config", "chunk_idx", "term", *more).agg(F.count("*").alias("tf"))
+
+    home = rows.repartition("id")
+    weighted = by_chunk(home.join(wide, "term"), "idfs").withColumn("x", F.col("tf") * F.get("idfs", F.col("config")))
+    norm = weighted.groupBy("id", "config", "chunk_idx").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    match = by_chunk(rows.join(F.broadcast(queries.select(F.explode(tokens(F.col("query"), 2)).alias("term")).distinct()), "term").repartition("id"))
+    dot = match.join(query_w, ["config", "term"]).groupBy("id", "config", "chunk_idx", "query_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("dot"))
+    hit = dot.join(norm, ["id", "config", "chunk_idx"]).withColumn("sim", F.col("dot") / F.col("norm"))
+
+    late = lengths.orderBy(F.desc("id")).limit(2 * k).select("id", "n", F.explode(ranges).alias("c")).select("id", "c.config", F.explode(F.expr("sequence(0, (n - 1) div c.step)")).alias("chunk_idx"))
+    last = late.withColumn("_r", F.row_number().over(W.partitionBy("config").orderBy(F.desc("id"), F.desc("chunk_idx")))).where(F.col("_r") <= 2 * k).drop("_r")
+    top = _ranked(hit.withColumn("chunk_idx", F.col("chunk_idx").cast("int")), last.withColumn("chunk_idx", F.col("chunk_idx").cast("int")), queries, ["id", "chunk_idx"], ["config"], k)
+    return top.withColumnRenamed("id", id_col)
 
 
 def retrieval_score(rank: str = "rank", n_words: str = "n_words", best: int = BEST_SPEC, bonus: float = 1.0):
@@ -126,18 +187,24 @@ def rag_contexts(docs: DataFrame, queries: DataFrame, rtl: DataFrame | None = No
 
     ``rtl``: (file, text), chunked by lines.
     """
-    found, order = [], 0
-    for content, source, cut in (("spec", docs, chunk_words), ("rtl", rtl, chunk_code)):
-        if source is None:
-            continue
-        for s in sizes:
-            for r in ratios:
-                chunks = cut(source, s, int(s * r))
-                keys = (chunks.columns[0], "chunk_idx")
-                top = top_chunks(chunks, queries, k, keys).join(chunks, list(keys))
-                score = retrieval_score(best=BEST_SPEC if content == "spec" else BEST_RTL, bonus=1.0 if content == "spec" else RTL_BONUS)
-                found.append(top.select("query_id", F.lit(order).alias("_o"), "rank", F.col("chunk").alias("text"), score.alias("score"), F.lit(s).alias("chunk_size"), F.lit(int(s * r)).alias("overlap"), F.lit(content).alias("content_type")))
-                order += 1
+    configs = [(s, int(s * r)) for s in sizes for r in ratios]
+    named = F.array(*[F.struct(F.lit(s).alias("chunk_size"), F.lit(o).alias("overlap")) for s, o in configs])
+    found = []
+    # of the best chunks, a bounded number a query, texts are cut where their documents are
+    top = written(top_windows(docs, queries, configs, k, docs.columns[0]), "top-windows", True).withColumn("c", F.get(named, F.col("config")))
+    text = words(F.col("text"))
+    step = F.col("c.chunk_size") - F.col("c.overlap")
+    chunk = F.slice(text, F.col("chunk_idx") * step + 1, F.col("c.chunk_size"))
+    spec = top.join(docs.select(docs.columns[0], "text"), docs.columns[0]).withColumn("_c", chunk).withColumn("text", F.array_join("_c", " ")).withColumn("n_words", F.size("_c"))
+    found.append(spec.withColumns({"score": retrieval_score(), "content_type": F.lit("spec"), "_o": F.col("config")}))
+    if rtl is not None:
+        key = rtl.columns[0]
+        chunks = [chunk_code(rtl, s, o, key).withColumn("config", F.lit(i)) for i, (s, o) in enumerate(configs)]
+        chunks = written(functools.reduce(DataFrame.unionByName, chunks), "code-chunks")
+        code = top_chunks(chunks, queries, k, (key, "chunk_idx"), by=("config",)).join(chunks, ["config", key, "chunk_idx"])
+        code = code.withColumns({"c": F.get(named, F.col("config")), "text": F.col("chunk"), "score": retrieval_score(best=BEST_RTL, bonus=RTL_BONUS), "content_type": F.lit("rtl"), "_o": F.col("config") + len(configs)})
+        found.append(code)
+    found = [x.select("query_id", "_o", "rank", "text", "score", "c.chunk_size", "c.overlap", "content_type") for x in found]
     every = functools.reduce(DataFrame.unionByName, found)
     ordinal = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "_o", "rank"))
     return every.withColumn("ordinal", ordinal).where(F.col("ordinal") <= keep).drop("_o")

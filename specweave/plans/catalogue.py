@@ -146,7 +146,7 @@ TOP = _top_sql("doc_id, chunk_idx", "")
 
 @query(f"WITH {Q_SQL}, {CHUNKS}, {TF}, {TOP} SELECT query_id, doc_id, chunk_idx, round(sim, 6) AS sim, rank FROM ranked WHERE rank <= 20")
 def tfidf_topk(spark, sf):
-    top = V.top_chunks(V.chunk_words(read(spark, sf, "documents")), questions(spark))
+    top = V.top_windows(read(spark, sf, "documents"), questions(spark), [(100, 20)])
     return top.select("query_id", "doc_id", "chunk_idx", six("sim"), "rank")
 
 

@@ -32,9 +32,10 @@ def test_every_word_is_in_a_chunk(spark):
             assert set().union(*own) == set(words) and max(map(len, own)) == size
 
 
-def test_code_chunks_keep_blocks():
+def test_code_chunks_keep_blocks(spark):
     text = "module m;\n" + "\n".join(f"wire w{i} ;" for i in range(9)) + "\nendmodule"
-    parts = V.code_pieces(text, 9, 1)
+    files = spark.createDataFrame([("m.v", text)], "file string, text string")
+    parts = [r["chunk"] for r in V.chunk_code(files, 9, 1).orderBy("chunk_idx").collect()]
     assert parts[0].startswith("module m;") and parts[-1].endswith("endmodule")
     assert all(not p.startswith("endmodule") for p in parts)
 
