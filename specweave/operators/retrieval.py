@@ -93,7 +93,7 @@ def _ranked(hit: DataFrame, last: DataFrame, queries: DataFrame, keys: list[str]
     """The ``k`` best of ``hit(by, query_id, keys, sim)`` for each ``by`` and query, filled up from ``last(by, keys)``."""
     latest = [F.desc(c) for c in keys]
     place = F.row_number().over(W.partitionBy(*by, "query_id").orderBy(F.desc(F.round("sim", 12)), *latest))
-    best = hit.select(*by, "query_id", *keys, "sim").withColumn("_r", place).where(F.col("_r") <= k).drop("_r")
+    best = written(hit.select(*by, "query_id", *keys, "sim").withColumn("_r", place).where(F.col("_r") <= k).drop("_r"), "best", True)  # read twice
     fill = queries.select("query_id").crossJoin(F.broadcast(last)).select(*by, "query_id", *keys).join(best, [*by, "query_id", *keys], "left_anti").withColumn("sim", F.lit(0.0))
     return best.unionByName(fill).withColumn("rank", place).where(F.col("rank") <= k)
 
@@ -139,9 +139,12 @@ def top_windows(docs: DataFrame, queries: DataFrame, configs: list[tuple[int, in
     frequencies in one join, and are counted by chunk where their document is, so that only lengths of chunks are left to shuffle.
     """
     sizes = [(c, size, size - overlap) for c, (size, overlap) in enumerate(configs)]
-    split = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    terms = split.select("id", F.posexplode("w").alias("at", "word")).select("id", "at", F.explode(tokens(F.col("word"), 2)).alias("term"))
-    rows = written(terms.groupBy("id", "term").agg(F.array_sort(F.collect_list("at")).alias("at")), "places")
+    # one pattern a text, not a word: what belongs to no term becomes one mark, at which words are split
+    marked = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_\s]+", "\u0001")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    spread = texts.repartition("id").select("id", words(marked).alias("w"))
+    terms = spread.select("id", F.posexplode("w").alias("at", "word")).select("id", "at", F.explode(F.split("word", "\u0001")).alias("term")).where("char_length(term) >= 2")
+    rows = written(terms.groupBy("id", "term").agg(F.array_sort(F.collect_list("at")).alias("at")).withColumn("row", F.monotonically_increasing_id()), "places")
 
     # chunks of step d that hold place p: from first(p) to p div d
     first = lambda p, size, d: f"if({p} < {size}, 0, ({p} - {size}) div {d} + 1)"
@@ -151,7 +154,7 @@ def top_windows(docs: DataFrame, queries: DataFrame, configs: list[tuple[int, in
     ]
     df = rows.select("term", *touched).groupBy("term").agg(*[F.sum(f"df{c}").alias(f"df{c}") for c, _, _ in sizes])
     df = written(df, "frequencies", True)
-    lengths = split.select("id", F.size("w").alias("n"))
+    lengths = texts.select("id", F.size(words(F.col("text"))).alias("n")).where("n > 0")
     total = lengths.agg(*[F.coalesce(F.sum(F.expr(f"(n - 1) div {d} + 1")), F.lit(0)).alias(f"n{c}") for c, _, d in sizes]).first()  # one row
     wide = df.select("term", F.array(*[_idf(F.lit(total[f"n{c}"]), F.col(f"df{c}")) for c, _, _ in sizes]).alias("idfs"))
     idf = wide.select("term", F.posexplode("idfs").alias("config", "idf"))
@@ -159,16 +162,18 @@ def top_windows(docs: DataFrame, queries: DataFrame, configs: list[tuple[int, in
 
     ranges = F.array(*[F.struct(F.lit(c).alias("config"), F.lit(size).alias("size"), F.lit(d).alias("step")) for c, size, d in sizes])
 
-    def by_chunk(found: DataFrame, *more: str) -> DataFrame:
-        """(id, config, chunk_idx, term, more, tf) of rows (id, term, at, more); all places of a document are in one task."""
-        every = found.select("id", "term", *more, F.explode("at").alias("p")).select("id", "term", *more, "p", F.explode(ranges).alias("c")).select("id", "term", *more, "p", "c.*")
-        return every.select("id", "config", "term", *more, F.explode(F.expr(f"sequence({first('p', 'size', 'step')}, p div step)")).alias("chunk_idx")).groupBy("id", "config", "chunk_idx", "term", *more).agg(F.count("*").alias("tf"))
+    def by_chunk(found: DataFrame, weight) -> DataFrame:
+        """(id, config, chunk_idx, row, x) of rows (id, row, at): the summed weights of a row's places; a document's are in one task."""
+        every = found.select("*", F.explode("at").alias("p")).drop("at").select("*", F.explode(ranges).alias("c")).withColumn("w", weight)
+        every = every.select("id", "c.config", "row", "w", F.explode(F.expr(f"sequence({first('p', 'c.size', 'c.step')}, p div c.step)")).alias("chunk_idx"))
+        return every.groupBy("id", "config", "chunk_idx", "row").agg(F.sum("w").alias("x"))
 
-    home = rows.repartition("id")
-    weighted = by_chunk(home.join(wide, "term"), "idfs").withColumn("x", F.col("tf") * F.get("idfs", F.col("config")))
+    weighted = by_chunk(rows.join(wide, "term").drop("term").repartition("id"), F.get("idfs", F.col("c.config")))
     norm = weighted.groupBy("id", "config", "chunk_idx").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    match = by_chunk(rows.join(F.broadcast(queries.select(F.explode(tokens(F.col("query"), 2)).alias("term")).distinct()), "term").repartition("id"))
-    dot = match.join(query_w, ["config", "term"]).groupBy("id", "config", "chunk_idx", "query_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("dot"))
+    asked = queries.select(F.explode(tokens(F.col("query"), 2)).alias("term")).distinct()
+    match = rows.join(F.broadcast(asked), "term")
+    tf = by_chunk(match.drop("term").repartition("id"), F.lit(1.0)).join(match.select("row", "term"), "row")
+    dot = tf.join(query_w, ["config", "term"]).groupBy("id", "config", "chunk_idx", "query_id").agg(F.sum(F.col("x") * F.col("idf") * F.col("q")).alias("dot"))
     hit = dot.join(norm, ["id", "config", "chunk_idx"]).withColumn("sim", F.col("dot") / F.col("norm"))
 
     late = lengths.orderBy(F.desc("id")).limit(2 * k).select("id", "n", F.explode(ranges).alias("c")).select("id", "c.config", F.explode(F.expr("sequence(0, (n - 1) div c.step)")).alias("chunk_idx"))
