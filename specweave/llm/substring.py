@@ -4,13 +4,16 @@ How the text is dealt out. Each 50-byte window has a minimizer, the least hash o
 have equal minimizers. Runs of neighbouring windows with one minimizer are cut out as segments (about 68 bytes for 18
 windows) and dealt to shards by the minimizer: windows that could be equal meet in one shard, whatever documents
 they come from. Before that each task drops repeats of whole segments within a few MB of text, remembering them as removed, so a
-passage that very many documents share is sent about once a task.
+passage that very many documents share is sent about once a task. There are ``MOST_PARTS`` partitions at most, whatever the input; one
+may hold many shards, which it sorts one after the other.
 
-In a shard, segments whose minimizer nobody else has cannot repeat; the others are joined with separators and their
-suffixes sorted by external induced sorting (see ``induced``), which yields common prefixes along the way. A maximal run of
-suffixes that agree on 50 bytes is one string; it is removed wherever the document is not the smallest of the run. The queues
-of the two passes are backed by disk; the text of a shard, its owners, names and removed positions are held in memory, and one
-minimizer is never split, so a shard must fit into the memory of its task.
+A partition keeps its segments in files beyond ``HELD`` bytes and maps them. Segments whose minimizer nobody else has cannot repeat;
+the others are taken in batches of whole minimizers, ``BATCH`` bytes of text each, and their suffixes sorted by external induced sorting
+(see ``induced``), which yields common prefixes along the way. A minimizer with more text than a batch, such as a phrase met in very
+many contexts, is cut again by the least of another hash of the same strings, and again, which parts the contexts; a shard of more
+than ``LARGE`` bytes is so cut from file to file, a block at a time. So a task's memory holds one batch and the positions of ``LARGE``
+bytes of segments, whatever the shard. A maximal run of
+suffixes that agree on 50 bytes is one string; it is removed wherever the document is not the smallest of the run.
 
 Defined cases: null counts as empty text; texts of fewer than 50 bytes are kept whole; documents with a null id are kept whole
 and take nothing from others; rows that share an id count as one document for comparing (no row of it removes from another),
@@ -21,6 +24,8 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +41,11 @@ LENGTH = 50
 GRAM = 16
 BLOCK = 4 << 20
 SHARD_TEXT = 4 << 20  # bytes of text for each shard; segments make about 3.7 times as much of it
+MOST_PARTS = 4096
+HELD = 64 << 20  # bytes of segments that a task holds in memory before they go to files
+BATCH = 16 << 20  # bytes of segments that are sorted at a time
+LARGE = 128 << 20
+DEEPEST = 6  # cuts of one minimizer's segments by further hashes; what is larger even then is sorted whole
 
 #: Bytes to symbols 1..254 (UTF-8 has no byte 255 or 254) and 0 for separators.
 _SHIFT = bytes((i + 1) % 256 for i in range(256))
@@ -126,15 +136,11 @@ _SPANS = pa.schema([("doc_id", pa.int64()), ("spans", pa.binary())])
 _HEADER = np.dtype([("key", "<i8"), ("start", "<i4"), ("n", "<u2"), ("high", "<u2"), ("low", "u1")])
 
 
-def _pieces(block: list[tuple[int, int, bytes]], length: int, shards: int) -> tuple[list[tuple[int, bytes]], pa.RecordBatch]:
-    """Payloads for the shards, and what repeats within the block."""
-    keys = np.array([k for k, _, _ in block], np.int64)
-    offsets = np.array([o for _, o, _ in block], np.int64)
-    bounds = np.concatenate([[0], np.cumsum([len(d) for _, _, d in block])])
-    data = b"".join(d for _, _, d in block)
+def _runs(data: bytes, bounds: np.ndarray, length: int, salt: int = 0) -> tuple[np.ndarray, ...]:
+    """Of the pieces of ``data``: hashes and minimizers by position, the piece of each window, and the runs of windows with one minimizer."""
     hashes = gram_hashes(data)
-    least = window_minimizers(hashes, length)
-    piece = np.repeat(np.arange(len(block)), np.diff(bounds))[: len(least)]
+    least = window_minimizers(_mixed(hashes ^ np.uint64(salt * 0xD6E8FEB86659FD93 % (1 << 64))) if salt else hashes, length)
+    piece = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(least)]
     inside = np.arange(len(least)) <= np.repeat(bounds[1:] - length, np.diff(bounds))[: len(least)]
     head = np.ones(len(least), bool)
     head[1:] = (least[1:] != least[:-1]) | (piece[1:] != piece[:-1])
@@ -146,6 +152,16 @@ def _pieces(block: list[tuple[int, int, bytes]], length: int, shards: int) -> tu
         more = [(np.arange(a, b, 60_000), b) for a, b in zip(start[long_], end[long_], strict=True)]
         start = np.concatenate([start[~long_], *(a for a, _ in more)])
         end = np.concatenate([end[~long_], *(np.append(a[1:], b) for a, b in more)])
+    return hashes, least, piece, start, end
+
+
+def _pieces(block: list[tuple[int, int, bytes]], length: int, shards: int, parts: int) -> tuple[list[tuple[int, bytes]], pa.RecordBatch]:
+    """Payloads for the partitions, and what repeats within the block. A shard's partition is its number modulo theirs."""
+    keys = np.array([k for k, _, _ in block], np.int64)
+    offsets = np.array([o for _, o, _ in block], np.int64)
+    bounds = np.concatenate([[0], np.cumsum([len(d) for _, _, d in block])])
+    data = b"".join(d for _, _, d in block)
+    hashes, least, piece, start, end = _runs(data, bounds, length)
     key = keys[piece[start]]
     content = segment_hashes(hashes, start, end, length)
     order = np.lexsort((key, content))
@@ -156,10 +172,10 @@ def _pieces(block: list[tuple[int, int, bytes]], length: int, shards: int) -> tu
     local = offsets[piece] - bounds[piece]
     spans = _span_batch(key[repeat], (start + local[start])[repeat], (end + local[start])[repeat] + length - 1, _SPANS)
     sent = np.sort(sent)
-    shard = (least[start[sent]] >> np.uint64(20)) % np.uint64(shards)
-    by = np.argsort(shard, kind="stable")
-    sent, shard = sent[by], shard[by]
-    cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.empty(0, np.int64)
+    part = (least[start[sent]] >> np.uint64(20)) % np.uint64(shards) % np.uint64(parts)
+    by = np.argsort(part, kind="stable")
+    sent, part = sent[by], part[by]
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
     out, squeeze = [], zstandard.ZstdCompressor(level=5)
     start, end, key = start[sent], end[sent], key[sent]
     place, mark = start + local[start], least[start] >> np.uint64(40)
@@ -169,7 +185,7 @@ def _pieces(block: list[tuple[int, int, bytes]], length: int, shards: int) -> tu
         header["n"], header["high"], header["low"] = end[a:b] - start[a:b], mark[a:b] >> np.uint64(8), mark[a:b] & np.uint64(255)
         fields = b"".join(header[f].tobytes() for f in _HEADER.names)
         text = b"".join([data[x : y + length - 1] for x, y in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)])
-        out.append((int(shard[a]), squeeze.compress((b - a).item().to_bytes(8, "little") + fields + text)))
+        out.append((int(part[a]), squeeze.compress((b - a).item().to_bytes(8, "little") + fields + text)))
     return out, spans
 
 
@@ -191,58 +207,195 @@ def _taken(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return text[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def shard_spans(header: np.ndarray, text: np.ndarray, length: int = LENGTH, **sorting) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Segments:
+    """A partition's segments by shard; beyond ``held`` bytes they go to files of a folder of the task, and are mapped."""
+
+    def __init__(self, folder: str, shards: int, length: int = LENGTH, held: int = HELD):
+        self.folder, self.shards, self.length, self.limit, self.held = folder, shards, length, held, 0
+        self.memory: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(shards)]
+        self.spilled = 0
+
+    def add(self, header: np.ndarray, text: np.ndarray) -> None:
+        if self.shards == 1:
+            own = [(0, header, text)]
+        else:  # equal minimizers have equal marks, and so one shard
+            size = header["n"].astype(np.int64) + self.length - 1
+            place = np.cumsum(size) - size
+            shard = _marks(header) % self.shards
+            own = [(k, header[at], _taken(text, place[at], size[at])) for k in np.unique(shard).tolist() for at in (np.flatnonzero(shard == k),)]
+        for k, h, t in own:
+            self.memory[k].append((h, t))
+            self.held += h.nbytes + t.nbytes
+        if self.held > self.limit:
+            self._spill()
+
+    def _paths(self, k: int) -> tuple[str, str]:
+        return os.path.join(self.folder, f"{k}.segments"), os.path.join(self.folder, f"{k}.text")
+
+    def _spill(self) -> None:
+        for k, parts in enumerate(self.memory):
+            if parts:
+                with open(self._paths(k)[0], "ab") as f, open(self._paths(k)[1], "ab") as g:
+                    for h, t in parts:
+                        f.write(h.tobytes())
+                        g.write(t.tobytes())
+                        self.spilled += t.nbytes
+                parts.clear()
+        self.held = 0
+
+    def shard(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Header and text of a shard; once."""
+        if self.spilled:
+            self._spill()
+            if not os.path.exists(self._paths(k)[0]):
+                return np.empty(0, _HEADER), np.empty(0, np.uint8)
+            return tuple(np.memmap(p, t, "r") for p, t in zip(self._paths(k), (_HEADER, np.uint8), strict=True))
+        parts, self.memory[k] = self.memory[k], []
+        return tuple(np.concatenate([p[i] for p in parts]) if parts else e for i, e in ((0, np.empty(0, _HEADER)), (1, np.empty(0, np.uint8))))
+
+    def drop(self, k: int) -> None:
+        for path in self._paths(k):
+            if os.path.exists(path):
+                os.remove(path)
+
+
+def _marks(header: np.ndarray) -> np.ndarray:
+    return header["high"].astype(np.int64) * 256 + header["low"]
+
+
+def _slices(weight: np.ndarray, most: int) -> Iterator[slice]:
+    """Neighbours of about ``most`` weight together."""
+    at = np.searchsorted(np.cumsum(weight), np.arange(0, int(weight.sum()) + most, most), side="left")
+    at = np.unique(np.append(at, [0, len(weight)]))
+    yield from (slice(a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+
+def _contents(text: np.ndarray, place: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the bytes of each segment, a few MB at a time."""
+    out = np.empty(len(place), np.uint64)
+    for own in _slices(n + length - 1, BLOCK):
+        size = n[own] + length - 1
+        at = np.cumsum(size) - size
+        out[own] = segment_hashes(gram_hashes(_taken(text, place[own], size).tobytes()), at, at + n[own], length)
+    return out
+
+
+def _cut_again(text: np.ndarray, place: np.ndarray, n: np.ndarray, length: int, salt: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one minimizer by another hash: the segment, the first window, the number of windows and the mark of each."""
+    out = []
+    for own in _slices(n + length - 1, BLOCK):
+        size = n[own] + length - 1
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        _, least, piece, start, end = _runs(_taken(text, place[own], size).tobytes(), bounds, length, salt)
+        out.append((piece[start] + own.start, start - bounds[piece[start]], end - start, (least[start] >> np.uint64(1)).astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def stored_spans(store: Segments, k: int, length: int = LENGTH, batch: int = BATCH, large: int = LARGE, level: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Spans (key, start, end) to remove, of a shard that may be larger than memory; the shard's files go."""
+    header, text = store.shard(k)
+    if len(text) <= large or level >= DEEPEST:
+        yield shard_spans(header, text, length, batch, level)
+        store.drop(k)
+        return
+    with tempfile.TemporaryDirectory(dir=store.folder) as folder:
+        inner = Segments(folder, 2 * -(-len(text) // large), length, min(store.limit, large))
+        at = 0
+        for own in _slices(header["n"] + np.int64(length - 1), BLOCK):
+            own = header[own]
+            n = own["n"].astype(np.int64)
+            size = n + length - 1
+            part, at = np.array(text[at : at + int(size.sum())]), at + int(size.sum())
+            place = np.cumsum(size) - size
+            stands = _leaders(_contents(part, place, n, length), own["key"])
+            other = own["key"] != own["key"][stands]
+            yield own["key"][other].astype(np.int64), own["start"][other].astype(np.int64), own["start"][other] + size[other]
+            own, n, place = own[~other], n[~other], place[~other]
+            piece, first, windows, marks = _cut_again(part, place, n, length, level + 1)
+            cut = np.empty(len(piece), _HEADER)
+            cut["key"], cut["start"], cut["n"] = own["key"][piece], own["start"][piece] + first, windows
+            marks >>= 39
+            cut["high"], cut["low"] = marks >> 8, marks & 255
+            inner.add(cut, _taken(part, place[piece] + first, windows + length - 1))
+        store.drop(k)
+        del header, text
+        for j in range(inner.shards):
+            yield from stored_spans(inner, j, length, batch, large, level + 1)
+
+
+def _leaders(content: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For each segment the one of the smallest key among those with its content."""
+    order = np.lexsort((key, content))
+    group = np.cumsum(np.concatenate([[0], content[order][1:] != content[order][:-1]]))
+    stands = np.empty(len(order), np.int64)
+    stands[order] = order[np.searchsorted(group, group)]
+    return stands
+
+
+def shard_spans(header: np.ndarray, text: np.ndarray, length: int = LENGTH, batch: int = BATCH, level: int = 0, **sorting) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (key, start, end) to remove from the documents of a shard's segments."""
-    size = header["n"].astype(np.int64) + length - 1
-    place = np.cumsum(size) - size
-    mark = header["high"].astype(np.int64) * 256 + header["low"]
+    n = header["n"].astype(np.int64)
+    place = np.cumsum(n + length - 1) - (n + length - 1)
+    none = np.empty(0, np.int64)
+    found = [(none, none, none), *_searched(header["key"].astype(np.int64), header["start"].astype(np.int64), n, _marks(header), place, text, length, batch, level, sorting)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _searched(key, start, n, mark, place, text, length, batch, level, sorting) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Spans of segments given by key, place in the document, windows, mark of the minimizer and place in ``text``."""
     _, inverse, count = np.unique(mark, return_inverse=True, return_counts=True)
     some = np.flatnonzero(count[inverse] > 1)
-    header, mark, text = header[some], mark[some], _taken(text, place[some], size[some])
-    size = size[some]
-    place = np.cumsum(size) - size
-    if not len(header):
-        return header["key"], place, place
+    key, start, n, mark, place = (x[some] for x in (key, start, n, mark, place))
+    if not len(key):
+        return
+    size = n + length - 1
     # equal segments: one of the smallest document stands for them
-    content = segment_hashes(gram_hashes(text.tobytes()), place, place + header["n"], length)
-    order = np.lexsort((header["key"], content))
-    group = np.cumsum(np.concatenate([[0], content[order][1:] != content[order][:-1]]))
-    lead = order[np.searchsorted(group, group)]
-    stands = np.empty(len(order), np.int64)
-    stands[order] = lead
-    spans = [(header["key"][x], header["start"][x].astype(np.int64), header["start"][x] + size[x]) for x in (np.flatnonzero(header["key"] != header["key"][stands]),)]
-    followers = np.flatnonzero((stands != np.arange(len(stands))) & (header["key"] == header["key"][stands]))
-    # suffixes of the others, where more than one segment has the minimizer
+    stands = _leaders(_contents(text, place, n, length), key)
+    other = np.flatnonzero(key != key[stands])
+    yield key[other], start[other], start[other] + size[other]
     lead = np.flatnonzero(stands == np.arange(len(stands)))
-    _, inverse, count = np.unique(mark[lead], return_inverse=True, return_counts=True)
-    lead = lead[count[inverse] > 1]
-    if len(lead):
-        own_size = size[lead] + 1
-        joined = np.zeros(int(own_size.sum()), np.uint8)
-        at = np.cumsum(own_size) - own_size
-        body = np.ones(len(joined), bool)
-        body[at + size[lead]] = False
-        joined[body] = _taken(text, place[lead], size[lead]) + np.uint8(1)
-        owner = np.repeat(np.arange(len(lead)), own_size)
-        removed = [np.empty(0, np.int64)]
-        for pos in _repeats(joined, owner, header["key"][lead], at + size[lead], length, **sorting):
-            removed.append(pos)
-        pos = np.concatenate(removed)
-        who = owner[pos]
-        begin = header["start"][lead][who] + pos - at[who]
-        spans.append((header["key"][lead][who], begin, begin + length))
-        if len(followers) and len(pos):  # other places of the same document with the same segment lose the same
-            index = np.full(len(stands), -1)
-            index[lead] = np.arange(len(lead))
-            which = index[stands[followers]]
-            by = np.argsort(who, kind="stable")
-            low, high = np.searchsorted(who[by], which), np.searchsorted(who[by], which, side="right")
-            n = np.where(which >= 0, high - low, 0)
-            hit = by[_taken(np.arange(len(by)), low, n)]
-            to = np.repeat(followers, n)
-            begin = header["start"][to] + pos[hit] - at[who[hit]]
-            spans.append((header["key"][to], begin, begin + length))
-    return tuple(np.concatenate(x) for x in zip(*spans, strict=True))
+    followers = np.flatnonzero((stands != np.arange(len(stands))) & (key == key[stands]))
+    # suffixes of the others, where more than one segment has the minimizer: whole minimizers, in batches
+    lead = lead[np.argsort(mark[lead], kind="stable")]
+    heads = np.flatnonzero(np.concatenate([[True], mark[lead][1:] != mark[lead][:-1]]))
+    members = np.diff(np.append(heads, len(lead)))
+    weight = np.add.reduceat(size[lead] + 1, heads)
+    hot = (weight > batch) & (level < DEEPEST)
+    for at, k in zip(heads[hot].tolist(), members[hot].tolist(), strict=True):
+        own = lead[at : at + k]
+        own = np.concatenate([own, followers[mark[followers] == mark[own[0]]]])
+        piece, first, windows, marks = _cut_again(text, place[own], n[own], length, level + 1)
+        yield from _searched(key[own][piece], start[own][piece] + first, windows, marks, place[own][piece] + first, text, length, batch, level + 1, sorting)
+    usual = (members > 1) & ~hot
+    for part in _slices(weight[usual], batch):
+        at, k = heads[usual][part], members[usual][part]
+        yield from _sorted(lead[_taken(np.arange(len(lead)), at, k)], followers, stands, key, start, size, place, text, length, sorting)
+
+
+def _sorted(lead, followers, stands, key, start, size, place, text, length, sorting) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Spans of the segments ``lead`` by sorting their suffixes, and of those that are equal to them in the same document."""
+    own_size = size[lead] + 1
+    joined = np.zeros(int(own_size.sum()), np.uint8)
+    at = np.cumsum(own_size) - own_size
+    body = np.ones(len(joined), bool)
+    body[at + size[lead]] = False
+    joined[body] = _taken(text, place[lead], size[lead]) + np.uint8(1)
+    owner = np.repeat(np.arange(len(lead), dtype=np.int32), own_size)
+    pos = np.concatenate([np.empty(0, np.int64), *_repeats(joined, owner, key[lead], at + size[lead], length, **sorting)])
+    who = owner[pos]
+    begin = start[lead][who] + pos - at[who]
+    yield key[lead][who], begin, begin + length
+    index = np.full(len(stands), -1)
+    index[lead] = np.arange(len(lead))
+    followers = followers[index[stands[followers]] >= 0]
+    if len(followers) and len(pos):  # other places of the same document with the same segment lose the same
+        which = index[stands[followers]]
+        by = np.argsort(who, kind="stable")
+        low, high = np.searchsorted(who[by], which), np.searchsorted(who[by], which, side="right")
+        hit = by[_taken(np.arange(len(by)), low, high - low)]
+        to = np.repeat(followers, high - low)
+        begin = start[to] + pos[hit] - at[who[hit]]
+        yield key[to], begin, begin + length
 
 
 def _repeats(text: np.ndarray, owner: np.ndarray, key: np.ndarray, end: np.ndarray, length: int, **sorting) -> Iterator[np.ndarray]:
@@ -275,42 +428,42 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("common prefixes are kept up to 50 bytes")
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
     shards = max(8, -(-total // shard_text))
+    parts = min(shards, MOST_PARTS)
+    own_shards = -(-shards // parts)
 
     def dealt(batches):
         at = 0
         for block in _blocks(batches, length):
-            payloads, spans = _pieces(block, length, shards)
+            payloads, spans = _pieces(block, length, shards, parts)
             if spans.num_rows:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, _SPANS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                     w.write_batch(spans)
-                payloads.append((at % shards, sink.getvalue().to_pybytes()))
+                payloads.append((at % parts, sink.getvalue().to_pybytes()))
             at += 7919
             kinds = [0] * len(payloads)
             if spans.num_rows:
                 kinds[-1] = 1
             for a in range(0, len(payloads), 64):  # small batches, so that the JVM holds few payloads at once
-                part = payloads[a : a + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in part], pa.int32()), pa.array(kinds[a : a + 64], pa.int32()), pa.array([p for _, p in part], pa.binary())], ["shard", "kind", "payload"])
+                some = payloads[a : a + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in some], pa.int32()), pa.array(kinds[a : a + 64], pa.int32()), pa.array([p for _, p in some], pa.binary())], ["part", "kind", "payload"])
 
     def searched(batches):
-        headers, texts = [], []
-        for batch in batches:
-            for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if kind:
-                    yield from pa.ipc.open_stream(payload.as_py())
-                else:
-                    header, text = _unpacked(payload.as_py(), length)
-                    headers.append(header)
-                    texts.append(text)
-        if headers:
-            header, text = np.concatenate(headers), np.concatenate(texts)
-            del headers, texts
-            out = _span_batch(*shard_spans(header, text, length), _SPANS)
-            yield from (out.slice(i, 20_000) for i in range(0, out.num_rows, 20_000))
+        with tempfile.TemporaryDirectory() as folder:  # of this task: what is lost with it is made again with it
+            store = Segments(folder, own_shards, length)
+            for batch in batches:
+                for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    if kind:
+                        yield from pa.ipc.open_stream(payload.as_py())
+                    else:
+                        store.add(*_unpacked(payload.as_py(), length))
+            for k in range(own_shards):
+                for found in stored_spans(store, k, length):
+                    out = _span_batch(*found, _SPANS)
+                    yield from (out.slice(i, 20_000) for i in range(0, out.num_rows, 20_000))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(dealt, "shard int, kind int, payload binary").repartitionById(shards, F.col("shard")).mapInArrow(searched, "doc_id long, spans binary")
+    return rows.mapInArrow(dealt, "part int, kind int, payload binary").repartitionById(parts, F.col("part")).mapInArrow(searched, "doc_id long, spans binary")
 
 
 def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
