@@ -132,7 +132,8 @@ def _span_batch(keys: np.ndarray, start: np.ndarray, end: np.ndarray, schema: pa
 
 
 _SPANS = pa.schema([("doc_id", pa.int64()), ("spans", pa.binary())])
-#: Fields of a payload; keys and starts are stored as differences, and 24 bits of the minimizer do within a shard.
+#: Fields of a payload; keys and starts are stored as differences, and the low 24 bits of the minimizer do within a shard (the
+#: high bits of a minimum are mostly zero).
 _HEADER = np.dtype([("key", "<i8"), ("start", "<i4"), ("n", "<u2"), ("high", "<u2"), ("low", "u1")])
 
 
@@ -178,7 +179,7 @@ def _pieces(block: list[tuple[int, int, bytes]], length: int, shards: int, parts
     cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
     out, squeeze = [], zstandard.ZstdCompressor(level=5)
     start, end, key = start[sent], end[sent], key[sent]
-    place, mark = start + local[start], least[start] >> np.uint64(40)
+    place, mark = start + local[start], least[start] & np.uint64(0xFFFFFF)
     for a, b in zip(cuts, np.append(cuts[1:], len(sent)), strict=True):
         header = np.empty(b - a, _HEADER)
         header["key"], header["start"] = np.diff(key[a:b], prepend=0), np.diff(place[a:b], prepend=0)
@@ -314,8 +315,7 @@ def stored_spans(store: Segments, k: int, length: int = LENGTH, batch: int = BAT
             piece, first, windows, marks = _cut_again(part, place, n, length, level + 1)
             cut = np.empty(len(piece), _HEADER)
             cut["key"], cut["start"], cut["n"] = own["key"][piece], own["start"][piece] + first, windows
-            marks >>= 39
-            cut["high"], cut["low"] = marks >> 8, marks & 255
+            cut["high"], cut["low"] = marks >> 8 & 0xFFFF, marks & 255
             inner.add(cut, _taken(part, place[piece] + first, windows + length - 1))
         store.drop(k)
         del header, text
