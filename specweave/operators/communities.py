@@ -1,17 +1,16 @@
 """Communities, motifs scored by them, and seeded guided walks.
 
-Label propagation scales with the graph. Greedy modularity and node connectivity have no set-oriented form; they run on one
+Louvain and label propagation scale with the graph. Greedy modularity and node connectivity have no set-oriented form; they run on one
 bounded graph a group, and refuse larger ones instead of cutting them.
 """
 
 from __future__ import annotations
 
 import heapq
-import random
 from collections import defaultdict, deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -32,6 +31,54 @@ def label_propagation(nodes: DataFrame, pairs: DataFrame, rounds: int = 10) -> D
     return labels.select(F.col("node").alias("node_id"), F.col("label").alias("community"))
 
 
+def louvain(nodes: DataFrame, pairs: DataFrame, levels: int = 8, rounds: int = 12, seed: int = 0) -> DataFrame:
+    """(node_id, community): modularity raised by moving nodes, then by moving whole communities, level by level; as joins.
+
+    In a round a hash picks half of the nodes; each of them moves to the community around it with the largest gain, the least of
+    several. So neighbours seldom swap places, and reruns agree. A community is named by its least member; isolated nodes are alone.
+    """
+    flat = pairs.where("a <> b").select("a", "b").distinct()
+    links = written(flat.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*", F.lit(1.0).alias("w")), "louvain")
+    ends = links.count()
+    home = written(nodes.select("node_id", F.col("node_id").alias("c")), "louvain-homes")
+    for level in range(levels if ends else 0):
+        degree = written(links.groupBy("node").agg(F.sum("w").alias("k")), "louvain-degrees")
+        labels, still = written(degree.select("node", "k", F.col("node").alias("c")), "louvain-labels"), 0
+        outer = links.where("node <> other")
+        for turn in range(rounds):
+            total = labels.groupBy("c").agg(F.sum("k").alias("total"))
+            into = outer.join(labels.select(F.col("node").alias("other"), "c"), "other").groupBy("node", "c").agg(F.sum("w").alias("into"))
+            own = labels.select("node", "k", F.col("c").alias("own"))
+            stay = labels.select("node", "c", F.lit(0.0).alias("into"))
+            choice = into.unionByName(stay).groupBy("node", "c").agg(F.sum("into").alias("into")).join(total, "c").join(own, "node")
+            gain = F.col("into") - F.col("k") * (F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / ends
+            choice = choice.withColumn("gain", F.round(gain, 9))
+            best = choice.groupBy("node", "k", "own").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("now"), F.max("gain").alias("most"), F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("to"))
+            may = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(turn), F.col("node")), F.lit(2)) == 0
+            moves = may & (F.col("most") > F.col("now"))
+            labels = written(best.select("node", "k", F.when(moves, F.col("to")).otherwise(F.col("own")).alias("c"), moves.alias("moved")), "louvain-labels")
+            still = still + 1 if labels.where("moved").isEmpty() else 0
+            labels = labels.drop("moved")
+            if still == 3:  # every node had its turn, most likely several
+                break
+        merged = labels.select("node", "c")
+        home = written(home.join(merged.select(F.col("node").alias("c"), F.col("c").alias("n")), "c", "left").select("node_id", F.coalesce("n", "c").alias("c")), "louvain-homes")
+        if merged.where("node <> c").isEmpty():
+            break
+        links = written(links.join(merged, "node").join(merged.select(F.col("node").alias("other"), F.col("c").alias("d")), "other").groupBy(F.col("c").alias("node"), F.col("d").alias("other")).agg(F.sum("w").alias("w")), "louvain")
+    return written(home.withColumn("community", F.min("node_id").over(W.partitionBy("c"))).select("node_id", "community"), "louvain-found")
+
+
+def modularity(pairs: DataFrame, communities: DataFrame) -> float:
+    """Share of edges inside communities less that expected by degrees."""
+    flat = pairs.where("a <> b").select("a", "b").distinct()
+    m = flat.count()
+    c = lambda x: communities.select(F.col("node_id").alias(x), F.col("community").alias("c" + x))
+    inside = flat.join(c("a"), "a").join(c("b"), "b").where("ca = cb").count()
+    ends = G.both_ways(flat).join(communities, F.col("node") == F.col("node_id")).groupBy("community").agg(F.count("*").alias("d"))
+    return (inside / m - (ends.agg(F.sum(F.pow("d", F.lit(2.0)))).first()[0] or 0.0) / (4 * m * m)) if m else 0.0
+
+
 def greedy_modularity(edges: list[tuple]) -> dict:
     """Node -> least member of its community, merging the pair with the largest gain in modularity while there is one."""
     near: dict = defaultdict(dict)
@@ -68,12 +115,11 @@ def greedy_modularity(edges: list[tuple]) -> dict:
 
 
 def modularity_communities(nodes: DataFrame, pairs: DataFrame, largest: int = LARGEST) -> DataFrame:
-    """(node_id, community) by greedy modularity, a task for each connected component; isolated nodes alone."""
-    comp = G.node_components(nodes, pairs)
-    own = pairs.select("a", "b").join(comp.withColumnRenamed("node_id", "a"), "a")
+    """(node_id, community) by greedy modularity, in one task, of a graph of at most ``largest`` edges; isolated nodes alone."""
+    own = pairs.select("a", "b")
     total = pairs.count()
     if total > largest:
-        raise ValueError(f"greedy modularity takes at most {largest} edges; use label_propagation")
+        raise ValueError(f"greedy modularity takes at most {largest} edges; use louvain")
     kind = dict(nodes.dtypes)["node_id"]
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
@@ -195,83 +241,66 @@ RELATION_WORTH = {"assigns": 1.0, "drives": 1.0, "connects": 1.0, "contains": 0.
 OTHER_WORTH = 0.5
 
 
-def guided_walks(nodes: DataFrame, pairs: DataFrame, signal_nodes: DataFrame, starts: DataFrame, targets: list[str], walks: int = 70, budget: int = 100, teleport: float = 0.1, alpha: float = 0.3, beta: float = 0.5, gamma: float = 0.2, most_targets: int = 10, seed: int = 0, radius: int = 6) -> DataFrame:
+def guided_walks(nodes: DataFrame, pairs: DataFrame, signal_nodes: DataFrame, starts: DataFrame, targets: list[str], walks: int = 70, budget: int = 100, teleport: float = 0.1, alpha: float = 0.3, beta: float = 0.5, gamma: float = 0.2, most_targets: int = 10, seed: int = 0) -> DataFrame:
     """(start, walk_id, path, discovered): seeded walks that lean towards nodes of target signals.
 
-    Each start gets its neighbourhood within ``radius`` as its own group, with importance, signal and next hop towards the targets;
-    walks leave it nowhere, so a group is bounded by the neighbourhood, not the graph. The generator is seeded by (seed, start, walk).
-    ``nodes`` needs type; ``signal_nodes(signal, node_id)``.
+    All walks take their next step in one join of where they stand with the edges. Draws are hashes of (seed, start, walk, step,
+    neighbour): of neighbours with weights w the one with the least -ln(u) / w is drawn, which is a draw by weight and an ordinary
+    minimum. A walk that has found all its targets, or stands on a node without edges, stays. ``nodes`` needs type; ``signal_nodes(signal, node_id)``.
     """
-    near = G.distances(pairs, starts, radius).select("start", "node")
-    inside = G.induced(near, pairs).withColumn("kind", F.lit("e"))
-    importance = G.node_importance(nodes, pairs).select(F.col("node_id").alias("node"), "importance")
-    signal = signal_nodes.groupBy(F.col("node_id").alias("node")).agg(F.max("signal").alias("signal"))
-    info = near.join(importance, "node").join(signal, "node", "left").select("start", F.col("node").alias("a"), F.lit(None).cast(dict(pairs.dtypes)["b"]).alias("b"), F.lit("n").alias("kind"), "importance", "signal")
-    rows = info.unionByName(inside.withColumn("importance", F.lit(None).cast("double")).withColumn("signal", F.lit(None).cast("string")))
-    kind = dict(pairs.dtypes)["a"]
-    wanted = sorted(targets)
-
-    def walk(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        start = key[0]
-        near: dict = defaultdict(list)
-        for a, b in sorted(frame[frame["kind"] == "e"][["a", "b"]].itertuples(index=False, name=None)):
-            if a != b:
-                near[a].append(b)
-                near[b].append(a)
-        info = frame[frame["kind"] == "n"]
-        worth = dict(zip(info["a"], info["importance"], strict=True))
-        signal = {n: s for n, s in zip(info["a"], info["signal"], strict=True) if isinstance(s, str)}
-        # from the start: next hop and inner nodes of a shortest path to each signal
-        parent, queue = {start: None}, deque([start])
-        while queue:
-            v = queue.popleft()
-            for u in near[v]:
-                if u not in parent:
-                    parent[u] = v
-                    queue.append(u)
-        hop, inner = {}, {}
-        for n in sorted(signal):
-            if n in parent and n != start:
-                path = [n]
-                while parent[path[-1]] is not None:
-                    path.append(parent[path[-1]])
-                hop[signal[n]], inner[signal[n]] = path[-2], path[1:-1]
-        hits: dict = defaultdict(int)
-        for path in inner.values():
-            for n in path:
-                hits[n] += 1
-        gate = {s: sorted(p, key=lambda n: -hits[n])[:5] for s, p in inner.items()}
-        home, out = signal.get(start), []
-        for w in range(walks):
-            draw = random.Random(f"{seed}|{start}|{w}")
-            left = set(draw.sample(wanted, min(most_targets, len(wanted))))
-            here, path, seen, found = start, [start], {start}, []
-            for _ in range(budget):
-                if not left:
-                    break
-                choices = [n for n in near[here] if n not in seen] or near[here]
-                if not choices:
-                    break
-                own = signal.get(here)
-                if draw.random() < teleport:
-                    doors = [g for t in sorted(left) for g in gate.get(t, ()) if g != here] if own and own == home else []
-                    door = draw.choice(doors) if doors else None
-                    if door is not None and door not in seen:
-                        here = door
-                        path.append(here)
-                        seen.add(here)
-                        continue
-                lean = [max(0.01, alpha * worth.get(c, 0.1) + beta * (sum(hop.get(t) == c for t in left) / len(left) if own and own == home else 0.0) + gamma * (c not in seen)) for c in choices]
-                here = draw.choices(choices, weights=lean)[0]
-                path.append(here)
-                seen.add(here)
-                if signal.get(here) in left:
-                    found.append(signal[here])
-                    left.discard(signal[here])
-            out.append((start, w, path, found))
-        return pd.DataFrame(out, columns=["start", "walk_id", "path", "discovered"])
-
-    return rows.groupBy("start").applyInPandas(walk, f"start {kind}, walk_id int, path array<{kind}>, discovered array<string>")
+
+    def draw(*parts) -> Column:
+        """A number above 0 and below 1."""
+        return (F.pmod(F.xxhash64(F.lit(seed), F.col("start"), F.col("walk_id"), *parts), F.lit(1 << 31)) + 0.5) / float(1 << 31)
+
+    signal = signal_nodes.groupBy("node_id").agg(F.max("signal").alias("signal"))
+    info = G.node_importance(nodes, pairs).join(signal, "node_id", "left")
+    info = written(info.select(F.col("node_id").alias("node"), F.coalesce("importance", F.lit(0.1)).alias("importance"), "signal"), "walk-nodes", True)
+    edges = G.both_ways(pairs.where("a <> b")).distinct()
+    edges = written(edges.join(info.select(F.col("node").alias("other"), F.col("importance").alias("worth"), F.col("signal").alias("to_signal")), "other"), "walk-edges")
+
+    # for each start and signal a shortest path: its first step, and the inner nodes that most of the start's paths share
+    reach = G.shortest_paths(pairs, starts).join(info.where("signal is not null").select("node", "signal"), "node").where("start <> node")
+    best = written(reach.groupBy("start", "signal").agg(F.min_by("path", F.struct("dist", "node")).alias("path")), "walk-paths")
+    hop = best.groupBy("start", F.get("path", F.lit(1)).alias("other")).agg(F.collect_set("signal").alias("leads_to"))
+    inner = best.where("size(path) > 2").select("start", "signal", F.explode(F.slice("path", F.lit(2), F.size("path") - 2)).alias("gate"))
+    hits = inner.withColumn("hits", F.count("*").over(W.partitionBy("start", "gate")))
+    gates = hits.withColumn("r", F.row_number().over(W.partitionBy("start", "signal").orderBy(F.desc("hits"), "gate"))).where("r <= 5")
+    gates = gates.groupBy("start").agg(F.collect_list(F.struct("signal", "gate")).alias("gates"))  # five a signal
+    home = starts.select("start").distinct().join(info.select(F.col("node").alias("start"), F.col("signal").alias("home")), "start", "left").join(gates, "start", "left")
+    hop, home = written(hop, "walk-hops", True), written(home, "walk-homes", True)
+
+    goals = F.array(*[F.lit(t) for t in sorted(targets)]).cast("array<string>")
+    own = F.array_sort(F.transform(goals, lambda t: F.struct(F.xxhash64(F.lit(seed), F.col("start"), F.col("walk_id"), t).alias("h"), t.alias("t"))))
+    state = starts.select("start").distinct().crossJoin(nodes.sparkSession.range(walks).select(F.col("id").cast("int").alias("walk_id")))
+    state = state.withColumns({"here": F.col("start"), "path": F.array("start"), "left_": F.slice(F.transform(own, lambda x: x["t"]), 1, most_targets), "discovered": F.array().cast("array<string>")})
+    names = state.columns
+
+    for step in range(1, budget + 1):
+        now = state.join(home, "start").join(info.select(F.col("node").alias("here"), F.col("signal").alias("here_signal")), "here", "left")
+        now = now.withColumn("at_home", F.coalesce(F.col("home") == F.col("here_signal"), F.lit(False)))
+        doors = F.filter(F.coalesce("gates", F.array().cast(dict(home.dtypes)["gates"])), lambda g: F.array_contains("left_", g["signal"]) & ~F.array_contains("path", g["gate"]))
+        now = now.withColumn("doors", F.when(F.col("at_home") & (draw(F.lit(step), F.lit("jump")) < teleport), F.array_sort(F.transform(doors, lambda g: g["gate"]))))
+        door = F.get("doors", F.floor(draw(F.lit(step), F.lit("door")) * F.size("doors")).cast("int"))
+        moves = now.where(F.size("left_") > 0).select("start", "walk_id", "path", "left_", "at_home", F.col("here").alias("node")).join(edges, "node").join(hop, ["start", "other"], "left")
+        toward = F.when(F.col("at_home"), F.size(F.array_intersect("left_", F.coalesce("leads_to", F.array().cast("array<string>")))) / F.size("left_")).otherwise(0.0)
+        new = ~F.array_contains("path", F.col("other"))
+        weight = F.greatest(F.lit(0.01), alpha * F.col("worth") + beta * toward + gamma * new.cast("int"))
+        chosen = moves.groupBy("start", "walk_id").agg(F.min_by("other", F.struct((~new).alias("seen"), (-F.log(draw(F.lit(step), F.col("other"))) / weight).alias("cost"))).alias("to"))
+        now = now.join(chosen, ["start", "walk_id"], "left").withColumn("to", F.when(F.col("to").isNotNull(), F.coalesce(door, "to")))
+        now = now.join(info.select(F.col("node").alias("to"), F.col("signal").alias("to_signal")), "to", "left")
+        hit = F.coalesce(F.array_contains("left_", F.col("to_signal")), F.lit(False))
+        state = now.select(
+            "start", "walk_id", F.coalesce("to", "here").alias("here"), F.when(F.col("to").isNull(), F.col("path")).otherwise(F.concat("path", F.array("to"))).alias("path"),
+            F.when(hit, F.array_remove("left_", F.col("to_signal"))).otherwise(F.col("left_")).alias("left_"),
+            F.when(hit, F.concat("discovered", F.array("to_signal"))).otherwise(F.col("discovered")).alias("discovered"), F.col("to").isNotNull().alias("moved"),
+        )
+        if step % 4 == 0 or step == budget:  # so that plans stay short
+            state = written(state, "walks", True)
+            if state.where("moved").isEmpty():
+                break
+        state = state.select(names)
+    return state.select("start", "walk_id", "path", "discovered")
 
 
 def walk_quality(walks: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from specweave.operators import graph as G
 from specweave.operators.inference import asked
 from specweave.operators.retrieval import top_chunks
+from specweave.scratch import written
 
 RECORD, FIELD = "##", "<|>"
 
@@ -65,18 +65,62 @@ def local_search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int
 def global_search(queries: DataFrame, communities: DataFrame, k: int = 5, spec=None) -> DataFrame:
     """(query_id, response): the community summaries nearest to a question are each answered, and the answers joined by one more call.
 
-    communities(community, summary).
+    communities(community, block, summary).
     """
-    top = top_chunks(communities.select("community", F.col("summary").alias("chunk")), queries, k, ("community",)).join(communities, "community").join(queries, "query_id")
+    keys = ["community", "block"]
+    top = top_chunks(communities.select(*keys, F.col("summary").alias("chunk")), queries, k, tuple(keys)).join(communities, keys).join(queries, "query_id")
     partial = asked(top.select("query_id", "rank", "query", F.concat(F.lit("Question: "), F.col("query"), F.lit("\nFrom this summary alone:\n"), F.col("summary")).alias("prompt")), spec)
     joined = partial.groupBy("query_id").agg(F.first("query").alias("query"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "response"))), lambda x: x["response"]), "\n---\n").alias("answers"))
     return asked(joined.select("query_id", F.concat(F.lit("Question: "), F.col("query"), F.lit("\nJoin these answers:\n"), F.col("answers")).alias("prompt")), spec).select("query_id", "response")
 
 
-def community_summaries(communities: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
-    """(community, summary): the names and texts of a community's first members."""
-    rows = communities.join(nodes, "node_id").withColumn("r", F.row_number().over(W.partitionBy("community").orderBy("node_id"))).where(F.col("r") <= most)
-    return rows.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]), "\n").alias("summary"))
+def community_summaries(communities: DataFrame, nodes: DataFrame, block: int = 50) -> DataFrame:
+    """(community, block, summary): the texts of all members of a community, about ``block`` of them a row.
+
+    Members are dealt to blocks by a hash, so that no community is one task; a block's texts stand in the order of the ids.
+    """
+    sizes = communities.groupBy("community").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = communities.join(sizes, "community").select("community", F.pmod(F.xxhash64("node_id"), "blocks").cast("int").alias("block"), "node_id")
+    texts = F.array_sort(F.collect_list(F.struct("node_id", "text")))
+    return dealt.join(nodes.select("node_id", "text"), "node_id").groupBy("community", "block").agg(F.array_join(F.transform(texts, lambda x: x["text"]), "\n").alias("summary"))
+
+
+def community_reports(summaries: DataFrame, spec=None, block: int = 50) -> DataFrame:
+    """(community, block, summary) with one row a community: a report by the model.
+
+    Each row of ``community_summaries`` is reported on; the reports of ``block`` rows are joined by one more call, until one is left.
+    """
+    ask = F.concat(F.lit("Write a short report on what the members of this group have in common and how they relate.\n\n"), F.col("summary"))
+    level = written(asked(summaries.withColumn("prompt", ask), spec).select("community", "block", F.col("response").alias("summary")), "reports")
+    join = F.concat(F.lit("Join these reports on parts of one group into one report.\n\n"), F.col("summary"))
+    while not level.groupBy("community").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        merged = level.groupBy("community", F.floor(F.col("block") / block).cast("int").alias("block")).agg(
+            F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "summary"))), lambda x: x["summary"]), "\n---\n").alias("summary")
+        )
+        done = merged.where("n = 1").select("community", "block", "summary")
+        more = asked(merged.where("n > 1").withColumn("prompt", join), spec).select("community", "block", F.col("response").alias("summary"))
+        level = written(done.unionByName(more), "reports")
+    return level
+
+
+def gleaned(answers: DataFrame, spec=None, rounds: int = 1) -> DataFrame:
+    """``answers(prompt, response, ...)`` after further passes, each of which asks for what the records so far leave out."""
+    more = F.concat("prompt", F.lit("\n\nRecords so far:\n"), F.coalesce("response", F.lit("")), F.lit(f"\n\nSome entities and relations are still missing. List only those, as before, separated by {RECORD}."))
+    names = answers.columns
+    for _ in range(rounds):
+        asked_again = asked(answers.withColumn("_again", more).withColumnRenamed("response", "_before"), spec, "_again").withColumnRenamed("response", "_more")
+        answers = written(asked_again.withColumn("response", F.concat_ws(RECORD, "_before", F.nullif(F.trim("_more"), F.lit("")))).select(names), "gleaned")
+    return answers
+
+
+def summarised_descriptions(merged: DataFrame, names: list[str], spec=None, longest: int = 500) -> DataFrame:
+    """``merged`` with one description by the model where the distinct ones are several and longer than ``longest`` characters together."""
+    text = F.array_join("descriptions", "\n")
+    long_ = (F.size("descriptions") > 1) & (F.length(text) > longest)
+    ask = F.concat(F.lit("Write one description that holds everything these say about "), F.concat_ws(" and ", *names), F.lit(":\n"), text)
+    short = merged.where(~long_)
+    told = asked(merged.where(long_).withColumn("prompt", ask), spec).withColumn("descriptions", F.array("response")).select(merged.columns)
+    return short.unionByName(told)
 
 
 def entity_graph(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:

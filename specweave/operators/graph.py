@@ -100,20 +100,27 @@ def directed_distances(edges: DataFrame, starts: DataFrame, depth: int | None =
     return seen
 
 
-def closeness(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node_id, closeness), scaled by the share of nodes that are reached."""
+def _few_enough(nodes: DataFrame, most: int) -> None:
+    if len(nodes.limit(most + 1).select(F.lit(1)).take(most + 1)) > most:
+        raise ValueError(f"this measure has a row for each pair of nodes and takes at most {most} nodes; pass most_nodes to allow more")
+
+
+def closeness(nodes: DataFrame, pairs: DataFrame, most_nodes: int = 20_000) -> DataFrame:
+    """(node_id, closeness), scaled by the share of nodes that are reached. A row for each reachable pair; larger graphs are refused."""
+    _few_enough(nodes, most_nodes)
     d = distances(pairs, nodes.select(F.col("node_id").alias("start"))).groupBy("start").agg(F.sum("dist").alias("total"), (F.count("*") - 1).alias("reached"))
     n = nodes.agg(F.count("*").alias("n"))
     c = F.when((F.col("total") > 0) & (F.col("n") > 1), F.col("reached") / F.col("total") * F.col("reached") / (F.col("n") - 1)).otherwise(0.0)
     return d.crossJoin(F.broadcast(n)).select(F.col("start").alias("node_id"), c.alias("closeness"))
 
 
-def betweenness(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def betweenness(nodes: DataFrame, pairs: DataFrame, most_nodes: int = 20_000) -> DataFrame:
     """(node_id, betweenness) by dependency accumulation over levels, all sources at once, as joins.
 
     Forward: numbers of shortest paths, level by level; backward: the dependencies. For exact values every node is a source, so
-    the tables hold a row for each reachable pair: meant for neighbourhoods, not for whole graphs.
+    the tables hold a row for each reachable pair: meant for neighbourhoods; larger graphs are refused.
     """
+    _few_enough(nodes, most_nodes)
     steps = written(both_ways(pairs.where("a <> b")).distinct(), "steps")
     levels = [written(nodes.select(F.col("node_id").alias("s"), F.col("node_id").alias("node"), F.lit(1.0).alias("paths")), "paths")]
     seen = levels[0].select("s", "node")

@@ -29,16 +29,16 @@ NOT_SIGNALS = ["and", "or", "not", "xor", "if", "else"]
 SV_TYPES = ["logic", "bit", "byte", "shortint", "int", "longint", "integer", "time"]
 WIDTH = r"(?:signed\s+)?(?:\[\s*(\d+)\s*:\s*(\d+)\s*\])?\s*(\w+)\s*;"
 FSM_PATTERNS = [
-    (r"reg\s+\[\s*\d+\s*:\s*\d+\s*\]\s*(\w+).*?(?:state|current|next|present|fsm|st)", "Multi-bit state register"),
-    (r"reg\s+(\w*state\w*)", "State register"),
-    (r"parameter\s+(\w+STATE\w*)\s*=", "State parameter"),
-    (r"localparam\s+(\w+STATE\w*)\s*=", "State localparam"),
-    (r"case\s*\(\s*(\w*state\w*)\s*\)", "State in case statement"),
-    (r"case\s*\(\s*(\w*current\w*)\s*\)", "Current state in case"),
-    (r"case\s*\(\s*(\w*next\w*)\s*\)", "Next state in case"),
-    (r"case\s*\(\s*(\w*present\w*)\s*\)", "Present state in case"),
-    (r"case\s*\(\s*(\w+)\s*\).*?IDLE.*?BUSY", "State machine with IDLE/BUSY states"),
-    (r"(always\s*@\s*\(\s*posedge.*?\).*?case)", "Sequential block with case statement"),
+    (r"reg\s+\[\s*\d+\s*:\s*\d+\s*\]\s*(\w+).*?(?:state|current|next|present|fsm|st)", "register of several bits beside a state word"),
+    (r"reg\s+(\w*state\w*)", "register named after a state"),
+    (r"parameter\s+(\w+STATE\w*)\s*=", "parameter named after a state"),
+    (r"localparam\s+(\w+STATE\w*)\s*=", "local parameter named after a state"),
+    (r"case\s*\(\s*(\w*state\w*)\s*\)", "case over a state"),
+    (r"case\s*\(\s*(\w*current\w*)\s*\)", "case over what is current"),
+    (r"case\s*\(\s*(\w*next\w*)\s*\)", "case over what is next"),
+    (r"case\s*\(\s*(\w*present\w*)\s*\)", "case over what is present"),
+    (r"case\s*\(\s*(\w+)\s*\).*?IDLE.*?BUSY", "case with IDLE and BUSY branches"),
+    (r"(always\s*@\s*\(\s*posedge.*?\).*?case)", "clocked block with a case"),
 ]
 
 

@@ -22,6 +22,7 @@ from specweave.operators import knowledge_graph as K
 from specweave.operators import replies as R
 from specweave.operators import retrieval as V
 from specweave.operators import rtl
+from specweave.operators import tokenizing as K2
 from specweave.plans import planning, samples
 from specweave.sinks import graphs as SG
 from specweave.sinks import results as SR
@@ -105,6 +106,23 @@ def chunk_code_lines(spark, sf):
     return V.chunk_code(samples.table(spark, "rtl"), 30, 2)
 
 
+def vocabulary() -> str:
+    """A public rank file of this machine; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query()
+def token_counts(spark, sf):
+    return K2.token_counts(read(spark, sf, "documents"), vocabulary())
+
+
+@query()
+def chunk_tokens_1200_100(spark, sf):
+    return K2.chunk_tokens(read(spark, sf, "documents"), vocabulary())
+
+
 # ---- lexical and dense retrieval
 
 QUESTIONS = [("q1", "the of and"), ("q2", "der die und"), ("q3", "tion ment elle"), ("q4", "zzzznothing here")]
@@ -345,7 +363,17 @@ def protocol_classify(spark, sf):
     return ports.select("port", rtl.protocol_class(F.col("port")).alias("pattern_type"))
 
 
-@query("SELECT 'm' AS module, type, signals FROM (VALUES ('reset_behavior', 'rst_n,soft_reset'), ('clock_domain_crossing', 'clk,req_clk,PCLK'), ('data_stability', 'wdata,q_d,en'), ('handshaking_protocol', 'valid,ready,ack')) t(type, signals)")
+VERIFICATION_SQL = f"""WITH {samples.values('l', [(i, p) for i, p in enumerate(samples.PORTS)], 'i, port')}, c AS (SELECT i, port, {CLASS_SQL} AS k FROM l),
+g AS (SELECT coalesce(list(port ORDER BY i) FILTER (k = 'clock_signals'), []) AS clk, coalesce(list(port ORDER BY i) FILTER (k = 'reset_signals'), []) AS rst, coalesce(list(port ORDER BY i) FILTER (k = 'data_signals'), []) AS d,
+  coalesce(list(port ORDER BY i) FILTER (k = 'control_signals'), []) AS ctl, coalesce(list(port ORDER BY i) FILTER (k = 'handshaking_signals'), []) AS h FROM c),
+s AS (SELECT *, CASE WHEN len(ctl) > 0 THEN ctl ELSE clk END AS gate, list_filter(h, lambda x: regexp_matches(lower(x), 'req|valid')) AS asks, list_filter(h, lambda x: regexp_matches(lower(x), 'ack|ready')) AS acks FROM g)
+SELECT 'm' AS module, 'reset_behavior' AS type, array_to_string(rst, ',') AS signals FROM s WHERE len(rst) > 0
+UNION ALL SELECT 'm', 'clock_domain_crossing', array_to_string(clk, ',') FROM s WHERE len(clk) > 1
+UNION ALL SELECT 'm', 'data_stability', array_to_string(list_concat(d, gate[1:1]), ',') FROM s WHERE len(d) > 0 AND len(gate) > 0
+UNION ALL SELECT 'm', 'handshaking_protocol', array_to_string(list_concat(asks, acks), ',') FROM s WHERE len(asks) > 0 AND len(acks) > 0"""
+
+
+@query(VERIFICATION_SQL)
 def verification_rules(spark, sf):
     p = rtl.verification_points(rtl.protocol_patterns(samples.table(spark, "ports")))
     return p.select("module", "type", F.array_join("signals", ",").alias("signals"))
@@ -446,13 +474,13 @@ def kg_density(spark, sf):
     return G.density(star_nodes(spark, sf), star_pairs(spark, sf)).select("n", "m", six("density"), six("avg_degree"))
 
 
-TRIANGLES = "e2 AS (SELECT a, b FROM pairs UNION SELECT least('n:' || s1.s_nationkey, 'p:' || l.l_partkey), greatest('n:' || s1.s_nationkey, 'p:' || l.l_partkey) FROM supplier s1 JOIN lineitem l ON l_suppkey = s_suppkey WHERE s_nationkey = 3), d2 AS (SELECT x, count(*) AS d FROM (SELECT a AS x FROM e2 UNION ALL SELECT b FROM e2) GROUP BY x), t AS (SELECT e1.a AS x, e1.b AS y, f.b AS z FROM e2 e1 JOIN e2 f ON e1.b = f.a JOIN e2 g ON g.a = e1.a AND g.b = f.b), tn AS (SELECT node, count(*) AS tri FROM (SELECT x AS node FROM t UNION ALL SELECT y FROM t UNION ALL SELECT z FROM t) GROUP BY node)"
+TRIANGLES = "e2 AS (SELECT a, b FROM pairs UNION SELECT least('n:' || s1.s_nationkey, 'p:' || l.l_partkey), greatest('n:' || s1.s_nationkey, 'p:' || l.l_partkey) FROM supplier s1 JOIN lineitem l ON l_suppkey = s_suppkey), d2 AS (SELECT x, count(*) AS d FROM (SELECT a AS x FROM e2 UNION ALL SELECT b FROM e2) GROUP BY x), t AS (SELECT e1.a AS x, e1.b AS y, f.b AS z FROM e2 e1 JOIN e2 f ON e1.b = f.a JOIN e2 g ON g.a = e1.a AND g.b = f.b), tn AS (SELECT node, count(*) AS tri FROM (SELECT x AS node FROM t UNION ALL SELECT y FROM t UNION ALL SELECT z FROM t) GROUP BY node)"
 
 
 @query(f"{GRAPH}, {TRIANGLES} SELECT node_id, coalesce(d, 0) AS degree, coalesce(tri, 0) AS tri, round(CASE WHEN coalesce(d, 0) > 1 THEN 2.0::DOUBLE * coalesce(tri, 0) / (d * (d - 1)) ELSE 0 END, 6) AS clustering FROM nodes LEFT JOIN d2 ON x = node_id LEFT JOIN tn ON node = node_id")
 def kg_clustering(spark, sf):
     """With shortcuts from a nation to the parts of its suppliers, so that there are triangles."""
-    s = read(spark, sf, "supplier").where("s_nationkey = 3")
+    s = read(spark, sf, "supplier")
     extra = s.join(read(spark, sf, "lineitem").select("l_suppkey", "l_partkey"), F.col("l_suppkey") == F.col("s_suppkey")).select(_ids("n", "s_nationkey").alias("src"), _ids("p", "l_partkey").alias("dst")).distinct()
     pairs = G.undirected(star_edges(spark, sf).select("src", "dst", "edge_seq").unionByName(extra.withColumn("edge_seq", F.lit(0).cast("long"))))
     return G.clustering(star_nodes(spark, sf), pairs).select("node_id", "degree", "tri", six("clustering"))
@@ -603,7 +631,10 @@ def kg_closeness(spark, sf):
     return G.closeness(*summary(spark, sf)).select("node_id", six("closeness"))
 
 
-@query()
+@query(f"""{SUMMARY}, bf AS (SELECT node_id AS s, node_id AS v, 0 AS d FROM nodes UNION SELECT s, other, d + 1 FROM bf JOIN ways ON node = v WHERE d < 8), ds AS (SELECT s, v, min(d) AS d FROM bf GROUP BY ALL),
+sp AS (SELECT node_id AS s, node_id AS t, [node_id] AS path FROM nodes UNION ALL SELECT sp.s, other, list_append(path, other) FROM sp JOIN ways ON ways.node = sp.t JOIN ds ON ds.s = sp.s AND ds.v = other AND ds.d = len(path)),
+sg AS (SELECT s, t, count(*) AS n FROM sp GROUP BY ALL), inn AS (SELECT s, t, unnest(path[2:len(path) - 1]) AS v FROM sp WHERE len(path) > 2), dep AS (SELECT v, sum(1.0::DOUBLE / n) AS b FROM inn JOIN sg USING (s, t) GROUP BY v)
+SELECT node_id, round(coalesce(b, 0) / (((SELECT count(*) FROM nodes) - 1) * ((SELECT count(*) FROM nodes) - 2)), 6) AS betweenness FROM nodes LEFT JOIN dep ON v = node_id""")
 def kg_betweenness(spark, sf):
     return G.betweenness(*summary(spark, sf)).select("node_id", six("betweenness"))
 
@@ -618,6 +649,11 @@ def kg_communities_cnm(spark, sf):
     return C.modularity_communities(*summary(spark, sf))
 
 
+@query()
+def kg_communities_louvain(spark, sf):
+    return C.louvain(star_nodes(spark, sf), star_pairs(spark, sf))
+
+
 @query()
 def kg_communities_label_prop(spark, sf):
     return C.label_propagation(star_nodes(spark, sf), star_pairs(spark, sf), 5)
@@ -632,7 +668,7 @@ def community_contexts(spark, sf):
 @query()
 def dense_motifs(spark, sf):
     n, p = summary(spark, sf)
-    return C.dense_motifs(n, p, C.modularity_communities(n, p), regions(n), density=0.1)
+    return C.dense_motifs(n, p, C.modularity_communities(n, p), regions(n))
 
 
 @query()
@@ -701,8 +737,24 @@ def rtl_signal_relationships(spark, sf):
 
 # ---- results
 
-
-@query("SELECT * FROM (VALUES (0, 'proven', NULL), (1, 'cex', NULL), (2, 'inconclusive', NULL), (3, 'error', 'syntax error near end'), (4, 'inconclusive', NULL), (5, '- marked_proven', NULL)) t(sva_id, status, error)")
+PROOFS = "WITH " + samples.values("r", samples.REPORTS, "sva_id, content") + r""",
+m AS (SELECT *, regexp_extract(content, '(?s)=+\nSUMMARY\n=+\n(.*?)\n\n', 1) AS body, regexp_matches(content, '(?s)=+\nSUMMARY\n=+\n.*?\n\n') AS has FROM r),
+l AS (SELECT sva_id, trim(unnest(string_split(trim(body), chr(10)))) AS line, generate_subscripts(string_split(trim(body), chr(10)), 1) AS pos FROM m),
+b AS (SELECT sva_id, min(pos) AS a FROM l WHERE starts_with(line, 'assertions') GROUP BY sva_id),
+e AS (SELECT l.sva_id, min(pos) AS c FROM l JOIN b ON b.sva_id = l.sva_id WHERE starts_with(line, 'covers') AND pos > a GROUP BY l.sva_id),
+s AS (SELECT l.sva_id, list(lower(trim(split_part(line, ':', 1))) ORDER BY pos) AS st FROM l JOIN b ON b.sva_id = l.sva_id LEFT JOIN e ON e.sva_id = l.sva_id
+  WHERE pos > a AND pos < coalesce(c, 1000000) AND len(string_split(line, ':')) = 2 AND coalesce(try_cast(regexp_extract(line, ':\s*(\d+)', 1) AS INT), 0) > 0 GROUP BY l.sva_id),
+proofs AS (SELECT m.sva_id, CASE WHEN contains(content, 'ERROR') THEN 'error' WHEN NOT has OR a IS NULL THEN 'inconclusive' WHEN list_contains(st, '- proven') THEN 'proven' WHEN list_has_any(st, ['- cex', '- ar_cex']) THEN 'cex'
+  WHEN st IS NULL OR list_has_any(st, ['- undetermined', '- unknown']) THEN 'inconclusive' ELSE st[1] END AS status,
+  CASE WHEN contains(content, 'ERROR') THEN trim(string_split(regexp_extract(content, '[^\n]*ERROR[^\n]*'), ':')[-1]) END AS error FROM m LEFT JOIN b ON b.sva_id = m.sva_id LEFT JOIN s ON s.sva_id = m.sva_id)"""
+SCRIPTS_SQL = "WITH " + samples.values("s", samples.SCRIPTS, "path, content") + r""",
+l AS (SELECT *, list_transform(string_split(content, chr(10)), lambda x: trim(x)) AS lines, array_to_string(list_filter(string_split(regexp_replace(content, '\\[ \t]*\r?\n', ' ', 'g'), chr(10)), lambda x: contains(x, 'analyze -v2k')), chr(10)) AS analyze_lines FROM s)
+SELECT path, nullif(regexp_extract(content, '(?m)^[ \t]*elaborate -top\s+(\S+)', 1), '') AS top_module,
+  coalesce(nullif(regexp_extract(analyze_lines, '\$\{RTL_PATH\}/(\S+\.v)', 1), ''), nullif(regexp_extract(analyze_lines, '(\S+\.v)', 1), '')) AS design_file,
+  list_filter(lines, lambda x: starts_with(x, 'stopat -env'))[-1] AS stopat, list_filter(lines, lambda x: starts_with(x, 'clock'))[-1] AS clock, list_filter(lines, lambda x: starts_with(x, 'reset'))[-1] AS reset FROM l"""
+
+
+@query(f"{PROOFS} SELECT sva_id, status, error FROM proofs")
 def proof_status(spark, sf):
     r = samples.table(spark, "reports")
     return A.proof_table(r.select("sva_id"), r)
@@ -713,7 +765,7 @@ def coverage_pivot(spark, sf):
     return A.coverage(samples.table(spark, "coverage"))
 
 
-@query("SELECT 6::BIGINT AS assertions, 5::BIGINT AS syntax_correct, 1::BIGINT AS proven, round(5 / 6.0::DOUBLE, 6) AS syntax_rate, round(1 / 6.0::DOUBLE, 6) AS proven_rate, 90.25::DOUBLE AS stimuli_statement, 12.0::DOUBLE AS coi_branch")
+@query(f"{PROOFS}, v AS (SELECT regexp_extract_all(content, '[a-z]+[|][a-z]+[|][0-9]+[.][0-9]+') AS m FROM ({samples.values('c', samples.COVERAGE, 'report_id, content').replace('c(report_id, content) AS ', '')}) c(report_id, content) WHERE report_id = 0) SELECT count(*) AS assertions, count(*) FILTER (status <> 'error') AS syntax_correct, count(*) FILTER (status = 'proven') AS proven, round(count(*) FILTER (status <> 'error') / count(*)::DOUBLE, 6) AS syntax_rate, round(count(*) FILTER (status = 'proven') / count(*)::DOUBLE, 6) AS proven_rate, (SELECT split_part(list_filter(m, lambda x: starts_with(x, 'stimuli|statement'))[-1], '|', 3)::DOUBLE FROM v) AS stimuli_statement, (SELECT split_part(list_filter(m, lambda x: starts_with(x, 'coi|branch'))[-1], '|', 3)::DOUBLE FROM v) AS coi_branch FROM proofs")
 def result_summary(spark, sf):
     from specweave.plans.results import summarise
 
@@ -734,7 +786,7 @@ def plan_statistics(spark, sf):
     return p.select("n_plans", "n_signals", six("words_per_plan"), six("plans_per_signal"))
 
 
-@query("SELECT * FROM (VALUES ('a.tcl', 'core', 'core.v', NULL, 'clock clk2', 'reset rst'), ('FPV_b.tcl', 'other', 'other.v', 'stopat -env foo', NULL, 'reset -expression {!rst_n}'), ('c.tcl', NULL, NULL, NULL, NULL, NULL)) t(path, top_module, design_file, stopat, clock, reset)")
+@query(SCRIPTS_SQL)
 def script_facts(spark, sf):
     return A.script_facts(samples.table(spark, "scripts"))
 
@@ -752,9 +804,9 @@ def natural_order(spark, sf):
     return p.select("p_partkey", F.row_number().over(W.orderBy("k", "p_partkey")).cast("long").alias("place"))
 
 
-@query("SELECT src, dst, id FROM (SELECT 's:' || l_suppkey AS src, 'p:' || l_partkey AS dst, 'e' || (row_number() OVER (ORDER BY 's:' || l_suppkey, 'p:' || l_partkey) - 1) AS id FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem))")
+@query(f"{GRAPH} SELECT src, dst, 'e' || (row_number() OVER (ORDER BY src, dst) - 1) AS id FROM edges")
 def unique_edge_ids(spark, sf):
-    e = star_edges(spark, sf).where("relation = 'drives'").select("src", "dst").withColumn("id", F.lit("same"))
+    e = star_edges(spark, sf).select("src", "dst").withColumn("id", F.lit("same"))
     return SG.with_edge_ids(e).select("src", "dst", "id")
 
 
@@ -784,7 +836,7 @@ def relation_merge(spark, sf):
     return E.merged_relations(E.relation_rows(E.records(samples.table(spark, "records")))).drop("descriptions")
 
 
-@query("SELECT unnest(['block', 'signal', 'fsm state']) AS entity_type")
+@query(r"""SELECT trim(regexp_replace(x, '["'']', '', 'g')) AS entity_type FROM (SELECT unnest(string_split(regexp_extract(text, '(?si)Entity Types:\s*\[([^\]]*)\]', 1), ',')) AS x FROM (VALUES ('Goal' || chr(10) || 'Entity Types: [block, ''signal'', fsm state]' || chr(10) || 'Steps')) t(text)) WHERE trim(regexp_replace(x, '["'']', '', 'g')) <> ''""")
 def entity_types(spark, sf):
     return A.entity_types(spark.createDataFrame([("Goal\nEntity Types: [block, 'signal', fsm state]\nSteps",)], "text string"))
 
@@ -792,13 +844,20 @@ def entity_types(spark, sf):
 @query()
 def local_search(spark, sf):
     n = star_nodes(spark, sf).withColumn("text", F.concat_ws(" ", "type", "name"))
-    e = star_edges(spark, sf).where("relation = 'part_of'").withColumn("description", F.col("relation"))
+    e = star_edges(spark, sf).withColumn("description", F.col("relation"))
     return E.local_search(spark.createDataFrame([("q", "region asia")], "query_id string, query string"), n, e, 5)
 
 
 # ---- Verilog
 
 
+INCLUDE_SQL = "`include\\s+\"([^\"]+)\""
+MODS = "WITH " + samples.values("f", samples.RTL, "file, text") + f""",
+inl AS (SELECT f.file, CASE WHEN g.file IS NULL THEN regexp_replace(f.text, '{INCLUDE_SQL}', '', 'g') ELSE regexp_replace(f.text, '{INCLUDE_SQL}', g.text, 'g') END AS text FROM f LEFT JOIN f g ON g.file = regexp_extract(f.text, '{INCLUDE_SQL}', 1)),
+cl AS (SELECT file, regexp_replace(regexp_replace(text, '(?s)/\\*.*?\\*/', '', 'g'), '(?m)//.*?$', '', 'g') AS text FROM inl),
+mods AS (SELECT file, unnest(regexp_extract_all(text, '{rtl.MODULE}', 1)) AS module, unnest(regexp_extract_all(text, '{rtl.MODULE}', 2)) AS header, unnest(regexp_extract_all(text, '{rtl.MODULE}', 3)) AS body FROM cl)"""
+
+
 def design(spark):
     return rtl.modules(rtl.cleaned(rtl.inline_includes(samples.table(spark, "rtl"))))
 
@@ -808,17 +867,26 @@ def rtl_ports(spark, sf):
     return rtl.ports(design(spark))
 
 
-@query()
+@query(MODS + f""", h AS (SELECT module AS parent, unnest(regexp_extract_all(body, '{rtl.INSTANCE}', 1)) AS module, unnest(regexp_extract_all(body, '{rtl.INSTANCE}', 2)) AS instance, unnest(regexp_extract_all(body, '{rtl.INSTANCE}', 3)) AS args FROM mods),
+i AS (SELECT * FROM h WHERE module IN (SELECT module FROM mods) AND module <> parent), p AS (SELECT parent, instance, module, trim(unnest(string_split(args, ','))) AS item, generate_subscripts(string_split(args, ','), 1) - 1 AS k FROM i),
+c AS (SELECT parent, instance, module, CASE WHEN contains(item, '.') THEN regexp_extract(item, '^\\.(\\w+)\\s*\\(\\s*(\\w+)\\s*\\)', 1) ELSE 'port_' || k END AS port, CASE WHEN contains(item, '.') THEN regexp_extract(item, '^\\.(\\w+)\\s*\\(\\s*(\\w+)\\s*\\)', 2) ELSE regexp_extract(item, '^(\\w+)', 1) END AS signal FROM p)
+SELECT * FROM c WHERE port <> '' AND signal <> ''""")
 def rtl_connections(spark, sf):
     return rtl.connections(rtl.instances(design(spark)))
 
 
-@query()
+@query(MODS + f""", seg AS (SELECT module, unnest(regexp_split_to_array(body, 'always(?:_ff|_comb|_latch)?')[2:]) AS seg, generate_subscripts(regexp_split_to_array(body, 'always(?:_ff|_comb|_latch)?')[2:], 1) - 1 AS always_block FROM mods),
+blk AS (SELECT module, always_block, regexp_extract(seg, '(?s)^\\s*@\\s*\\((.*?)\\)(.*)', 1) AS sens, regexp_extract(seg, '(?s)^\\s*@\\s*\\((.*?)\\)(.*)', 2) AS inr FROM seg),
+a AS (SELECT module, 'continuous' AS type, unnest(regexp_extract_all(body, '{rtl.CONTINUOUS}', 1)) AS lhs, unnest(regexp_extract_all(body, '{rtl.CONTINUOUS}', 2)) AS rhs, NULL::BOOLEAN AS in_clocked_block, NULL::INT AS always_block, (generate_subscripts(regexp_extract_all(body, '{rtl.CONTINUOUS}', 1), 1) - 1)::INT AS idx FROM mods
+UNION ALL SELECT module, CASE WHEN op = '<=' THEN 'non_blocking' ELSE 'blocking' END, lhs, rhs, regexp_matches(sens, 'posedge|negedge'), always_block::INT, idx::INT FROM (SELECT module, always_block, sens, unnest(regexp_extract_all(inr, '{rtl.PROCEDURAL}', 1)) AS lhs, unnest(regexp_extract_all(inr, '{rtl.PROCEDURAL}', 2)) AS op, unnest(regexp_extract_all(inr, '{rtl.PROCEDURAL}', 3)) AS rhs, generate_subscripts(regexp_extract_all(inr, '{rtl.PROCEDURAL}', 1), 1) - 1 AS idx FROM blk))
+SELECT module, type, trim(lhs) AS lhs, trim(rhs) AS rhs, array_to_string(list_filter(regexp_extract_all(trim(rhs), '\\w+'), lambda w: NOT regexp_matches(w, '^\\d+$') AND w NOT IN ({', '.join(repr(x) for x in rtl.NOT_SIGNALS)})), ',') AS rhs_signals, in_clocked_block, always_block, idx FROM a""")
 def rtl_assignments(spark, sf):
     return rtl.assignments(design(spark)).withColumn("rhs_signals", F.array_join("rhs_signals", ","))
 
 
-@query()
+@query(MODS + r""", k AS (SELECT module, 'if' AS kind, regexp_extract_all(body, '\bif\s*\((.*?)\)', 1) AS m FROM mods UNION ALL SELECT module, 'case', regexp_extract_all(body, '\bcase\s*\(\s*(.+?)\s*\)', 1) FROM mods
+UNION ALL SELECT module, 'for', regexp_extract_all(body, '\bfor\s*\(') FROM mods UNION ALL SELECT module, 'while', regexp_extract_all(body, '\bwhile\s*\(') FROM mods),
+u AS (SELECT module, kind, unnest(m) AS e, (generate_subscripts(m, 1) - 1)::INT AS idx FROM k) SELECT module, kind, idx, CASE WHEN kind IN ('if', 'case') THEN trim(e) END AS expr FROM u""")
 def rtl_control_flow(spark, sf):
     return rtl.control_flow(design(spark))
 

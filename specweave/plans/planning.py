@@ -59,7 +59,7 @@ def contexts(docs: DataFrame, signals: DataFrame, nodes: DataFrame, edges: DataF
             mine = members.join(starts, F.col("node") == F.col("start")).select("signal", "start", "motif").distinct()
             parts.append(_contexts(mine.join(scored, "motif").join(text, "motif"), "motif", type=F.substring_index("motif", ":", 1), start_node=F.col("start")))
         elif kind == "community":
-            groups = written(C.label_propagation(nodes, pairs), "communities")
+            groups = C.louvain(nodes, pairs)
             scored = C.community_contexts(nodes, pairs, groups, only)
             text = X.described_groups(groups.select("community", F.col("node_id").alias("node")).join(scored.select("community").distinct(), "community", "left_semi"), nodes, pairs, "Community", "community")
             parts.append(_contexts(scored.join(text, "community").join(starts, "start"), "community", size=F.col("size"), start_node=F.col("start")))

@@ -11,10 +11,17 @@ KEYWORDS = ["posedge", "negedge", "disable", "iff", "property", "assert", "endpr
 
 
 def plan_lines(plans: DataFrame) -> DataFrame:
-    """(line_no, line): ``Signal s:`` and its plans, numbered through all signals."""
-    rows = plans.withColumn("n", F.row_number().over(W.orderBy("signal", "plan_no"))).withColumn("first", F.row_number().over(W.partitionBy("signal").orderBy("plan_no")) == 1)
-    lines = rows.select("n", F.explode(F.array_compact(F.array(F.when(F.col("first"), F.struct(F.lit(0).alias("k"), F.concat(F.lit("Signal "), F.col("signal"), F.lit(":")).alias("line"))), F.struct(F.lit(1).alias("k"), F.concat(F.lit("Plan "), F.col("n"), F.lit(": "), F.col("plan")).alias("line"))))).alias("x"))
-    return lines.select(F.row_number().over(W.orderBy("n", "x.k")).alias("line_no"), "x.line")
+    """(line_no, line): ``Signal s:`` and its plans, numbered through all signals.
+
+    Plans are ranked within their signals; only the table of signals is summed up in one task.
+    """
+    by_signal = W.orderBy("signal")
+    heads = plans.groupBy("signal").agg(F.count("*").alias("n"))
+    heads = heads.select("signal", (F.sum("n").over(by_signal) - F.col("n")).alias("before"), F.row_number().over(by_signal).alias("k"))
+    own = plans.withColumn("r", F.row_number().over(W.partitionBy("signal").orderBy("plan_no"))).join(heads, "signal")
+    number = F.col("before") + F.col("r")
+    lines = own.select((number + F.col("k")).cast("int").alias("line_no"), F.concat(F.lit("Plan "), number, F.lit(": "), F.col("plan")).alias("line"))
+    return lines.unionByName(heads.select((F.col("before") + F.col("k")).cast("int").alias("line_no"), F.concat(F.lit("Signal "), F.col("signal"), F.lit(":")).alias("line")))
 
 
 def identifiers(text: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specweave.functions.text import token_estimate
+from specweave.sources.pdf import pdf_pages
 
 SUFFIXES = (".pdf", ".docx", ".txt", ".jsonl")
 Extractor = Callable[[bytes], list[str]]
@@ -56,11 +57,11 @@ def jsonl_pages(data: bytes) -> list[str]:
     return [json_text(json.loads(line)) for line in data.decode("utf-8", "replace").splitlines() if line.strip()]
 
 
-EXTRACTORS: dict[str, Extractor] = {".txt": text_pages, ".docx": docx_pages, ".jsonl": jsonl_pages}
+EXTRACTORS: dict[str, Extractor] = {".pdf": pdf_pages, ".txt": text_pages, ".docx": docx_pages, ".jsonl": jsonl_pages}
 
 
 def read_documents(spark: SparkSession, paths: str | list[str], extractors: dict[str, Extractor] | None = None) -> DataFrame:
-    """(doc_id, path, size, page, text), a row a page. PDF needs an extractor of its own: ``{".pdf": bytes -> pages}``."""
+    """(doc_id, path, size, page, text), a row a page. extractors: others by suffix, such as ``{".pdf": bytes -> pages}`` for PDF files with fonts of their own."""
     use = EXTRACTORS | (extractors or {})
     files = resolve_inputs(spark, paths)
     lacking = sorted({f[f.rindex(".") :].lower() for f in files} - set(use))

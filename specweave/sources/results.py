@@ -16,19 +16,23 @@ def plans_from_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def plans_from_lines(lines: DataFrame) -> DataFrame:
-    """(signal, plan_no, plan) of lines(line_no, line): ``Signal s:``, ``Plan n: text``, and lines that continue a plan."""
-    own = W.orderBy("line_no")
-    rows = lines.withColumn("line", F.trim("line")).where("line <> ''")
+    """(signal, plan_no, plan) of lines(line_no, line): ``Signal s:``, ``Plan n: text``, and lines that continue a plan.
+
+    With a column ``path`` each file is read by itself, and the plans of a signal are numbered through the files by path.
+    """
+    named = "path" in lines.columns
+    rows = (lines if named else lines.withColumn("path", F.lit(""))).withColumn("line", F.trim("line")).where("line <> ''")
+    own = W.partitionBy("path").orderBy("line_no")
     rows = rows.withColumn("signal", F.last(F.nullif(F.regexp_extract("line", r"^Signal\s+(.+?):\s*$", 1), F.lit("")), True).over(own)).where("signal is not null")
     rows = rows.where(~F.col("line").rlike(r"^Signal\s+.+?:\s*$")).withColumn("head", F.col("line").rlike(r"^Plan\s+\d+\s*:\s*.+$"))
-    rows = rows.withColumn("plan_no", F.sum(F.col("head").cast("long")).over(W.partitionBy("signal").orderBy("line_no"))).where("plan_no > 0")
+    rows = rows.withColumn("plan_no", F.sum(F.col("head").cast("long")).over(W.partitionBy("signal").orderBy("path", "line_no"))).where("plan_no > 0")
     text = F.when(F.col("head"), F.trim(F.regexp_extract("line", r"^Plan\s+\d+\s*:\s*(.+)$", 1))).otherwise(F.col("line"))
-    parts = rows.withColumn("t", text).groupBy("signal", "plan_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "t"))).alias("p"))
+    parts = rows.withColumn("t", text).groupBy("signal", "plan_no").agg(F.array_sort(F.collect_list(F.struct("path", "line_no", "t"))).alias("p"))
     return parts.select("signal", "plan_no", F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("plan"))
 
 
 def plans_from_text(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
     return plans_from_lines(whole)
 
 

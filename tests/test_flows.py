@@ -40,7 +40,8 @@ def test_documents(spark, tmp_path):
     assert {r["doc_id"]: r["words"] for r in D.document_statistics(pages).collect()} == {"a": 3, "b": 3, "c": 2}
     (tmp_path / "d.pdf").write_bytes(b"%PDF")
     with pytest.raises(ValueError):
-        D.read_documents(spark, str(tmp_path / "d.pdf"))
+        D.read_documents(spark, str(tmp_path / "d.rtf"))
+    assert D.read_documents(spark, str(tmp_path / "d.pdf")).count() == 0
     assert D.read_documents(spark, str(tmp_path / "d.pdf"), {".pdf": lambda b: ["page"]}).count() == 1
     (tmp_path / "x.bin").write_bytes(b"")
     for wrong in ("missing.txt", "x.bin"):
