@@ -8,13 +8,15 @@ tightest until it can take no more. Bins stand in a balanced tree by remaining r
 
 ``packed`` opens as few bins of a fixed capacity as best fit needs. ``sharded`` has a fixed number of shards and uses the
 least capacity with which that many bins suffice, so that the shards come out near equal in bytes. A group larger than
-an equal share fits in no shard; it alone is dealt by a hash of the id into pieces of about an eighth of a share.
+an equal share fits in no shard; it alone is dealt by a hash of the id into pieces of about an eighth of a share. So the law of near
+equal sizes holds whatever the groups, and indivisible are the groups that fit. Rows of a split group that share an id, or have none,
+stay in one piece; only if they alone exceed a share does their shard come out larger.
 
 Ranks (of groups among those of their size, of rows in their shard) are sums of cell counts plus ranks within cells,
 so no task sorts a whole size or shard.
 
 Defined cases: null text has size 8 and is grouped with empty text; a null id is an id like any other; rows that share id and text
-are separate rows of one group; an empty table gives an empty result; other columns are not read.
+are separate rows of one group; groups of equal size class are ranked by hash, so ties are settled alike in every run; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 import xxhash
 
+from conftest import DATA
 from specweave.llm import bpe, common, embedding, exact, induced, langid, mixing, quality, secret_scan, sharding, simhash, substring
 
 
@@ -73,7 +74,59 @@ def brute_fingerprint(text):
 
 def test_simhash(spark, small, texts):
     got = frame(simhash.op1_simhash(spark, small), "doc_id")
-    assert [int(x, 16) for x in got["fingerprint"]] == [brute_fingerprint(x) for x in texts["text"]]
+    prints = [brute_fingerprint(x) for x in texts["text"]]
+    assert [int(x, 16) for x in got["fingerprint"]] == prints
+    own = roots(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 2])
+    assert got["component_id"].tolist() == [texts["doc_id"][i] for i in own]  # ids are in order
+
+
+def test_exact_shuffles_possible_repeats_only(spark):
+    rows = spark.range(20_000).selectExpr("concat('text ', if(id % 20 = 0, id div 100, id)) AS t")
+    shas = rows.select(exact.text_hash(rows["t"]).alias("sha"))
+    slots = exact.filter_slots(20_000)
+    repeated = shas.groupBy("sha").count().where("count > 1").agg({"count": "sum"}).first()[0]
+    some = exact.marked(shas, "sha", exact.repeated_slots(shas, slots), slots, "maybe")
+    assert repeated <= some.where("maybe").count() <= repeated + 0.03 * 20_000
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    everything = exact.drop_repeats(rows.selectExpr("monotonically_increasing_id() AS doc_id", "t AS text"), slots=1 << 15)
+    assert everything.count() == shas.distinct().count()  # a filter that is far too small finds the same
+
+
+def test_near_texts_in_a_dense_group(spark):
+    """Many variants of a text, some of which only chain to others; in tiles of any size."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(300), rng.randint(0, 4)):
+            words[at] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"w{rng.randrange(5000)}" for _ in range(200))) for i in range(150)]
+    rows += [(2000, "short one"), (2001, "short  One"), (2002, "another short one")]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.83 * len(sets[i] | sets[j])]
+    want = roots(len(rows), close)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for tile in (4096, 16):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_texts(df, tile=tile).collect()}
+        assert all(got[rows[i][0]] == got[rows[r][0]] for i, r in enumerate(want))
+        assert len(set(got.values())) == len(set(want))
+
+
+def test_signature_prefixes_meet():
+    """Sets of the similarity share one of their least members, whatever the order of common shingles."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a = rng.integers(0, 2**63, rng.integers(1, 60), np.uint64)
+        text = lambda x: " ".join(f"{v:x}" for v in x)
+        b = np.append(a[: max(1, int(len(a) * rng.uniform(0.7, 1)))], rng.integers(0, 2**63, rng.integers(0, 3), np.uint64))
+        x, y = (set(simhash.shingle_hashes(text(v), 1).tolist()) for v in (a, b))
+        if len(x & y) >= 0.8 * len(x | y):
+            common = np.sort(rng.choice(np.array(sorted(x), np.uint64), len(x) // 2, False))
+            p, q = (set(simhash.signature(text(v), common, 1)[2].tolist()) for v in (a, b))
+            assert p & q
 
 
 def test_vantage_links_are_exact(spark):
@@ -133,6 +186,56 @@ def test_substrings(spark, small, texts):
         assert got == brute_substrings(rows)
 
 
+def spans_of(rows, shards, parts, batch, held, large):
+    """What ``repeated_spans`` removes, without Spark: document, start and end."""
+    import tempfile
+
+    import pyarrow as pa
+
+    dealt, out = {}, []
+
+    def unpack(batch_):
+        for key, pairs in zip(batch_.column(0).to_pylist(), batch_.column(1).to_pylist(), strict=True):
+            out.extend((key, a, b) for a, b in np.frombuffer(pairs, "<i4").reshape(-1, 2).tolist())
+
+    table = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["a", "b"])
+    for block in substring._blocks([table], 50):
+        payloads, spans = substring._pieces(block, 50, shards, parts)
+        unpack(spans)
+        for part, payload in payloads:
+            dealt.setdefault(part, []).append(payload)
+    spilled = 0
+    for payloads in dealt.values():
+        with tempfile.TemporaryDirectory() as folder:
+            store = substring.Segments(folder, -(-shards // parts), 50, held)
+            for payload in payloads:
+                store.add(*substring._unpacked(payload, 50))
+            spilled += store.spilled
+            for k in range(store.shards):
+                for found in substring.stored_spans(store, k, 50, batch, large):
+                    unpack(substring._span_batch(*found, substring._SPANS))
+    return out, spilled
+
+
+@pytest.mark.parametrize("sizes", [(8, 8, 1 << 24, 1 << 26, 1 << 30), (8, 3, 500, 1 << 26, 1 << 30), (9, 2, 200, 1000, 1 << 30), (2, 1, 700, 500, 2000), (1, 1, 10_000, 5000, 900)])
+def test_substrings_with_a_hot_minimizer_in_small_batches(sizes):
+    """A phrase in very many contexts; batches, files and cuts from file to file much smaller than the text."""
+    rng = random.Random(1)
+    some = lambda n: "".join(rng.choices("abcdefgh", k=rng.randint(0, n)))
+    rows = [(i, some(40) + "THE SAME SIXTEEN BYTES" + some(40)) for i in range(250)]
+    rows += [(1000 + i, rng.choice(rows)[1][3:] + "!" + rng.choice(rows)[1]) for i in range(40)] + [(2000, "x" * 3000), (2001, "ab" * 300), (2002, "ba" * 90)]
+    spans, spilled = spans_of(rows, *sizes)
+    assert (spilled > 0) == (sizes[3] < 10_000)
+    for key, want in brute_substrings(rows).items():
+        data = dict(rows)[key].encode()
+        cover = bytearray(len(data))
+        for k, a, b in spans:
+            if k == key:
+                cover[a:b] = b"\1" * (b - a)
+        kept = bytes(c for c, f in zip(data, cover, strict=True) if not f)
+        assert (len(data), sum(cover), len(re.findall(b"\1+", cover)), hashlib.sha256(kept).hexdigest()) == want
+
+
 def brute_entropy(run, least):
     hot = [i for i in range(len(run) - 19) if -sum((c := run[i : i + 20].count(x) / 20) * np.log2(c) for x in set(run[i : i + 20])) >= least - 1e-9]
     cover = {i + k for i in hot for k in range(20)}
@@ -160,6 +263,56 @@ def test_secrets(spark):
     assert [s.split(":")[0] for s in got[3]["spans"].split(",")] == ["entropy_base64", "hex"]
 
 
+def brute_spans(text):
+    """Base and entropy spans by plain loops: every start, every window."""
+    out = []
+    for kind, pattern, group, least in (("assign", secret_scan.ASSIGN, 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)):
+        at = 0
+        while at <= len(text):
+            m = pattern.match(text, at)
+            if m and len(m[group]) >= least:
+                out.append((m.start(), m.end(), kind))
+            at = m.end() if m else at + 1
+    for kind, runs, least in secret_scan.CLASSES:
+        for m in runs.finditer(text):
+            if not any(a.fullmatch(m[0]) for a in secret_scan.ALLOW):
+                out += [(m.start() + a, m.start() + b, kind) for a, b in brute_entropy(m[0], least)]
+    return out
+
+
+def test_secrets_query_against_brute_force(spark, small, texts):
+    got = {r["doc_id"]: r for r in secret_scan.op3_secrets(spark, small).collect()}
+    text_of = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], secret_scan.KINDS.index(s[2]), s[1])))
+    n = 0
+    for key, text in zip(texts["doc_id"], texts["text"], strict=True):
+        spans = brute_spans(text or "")
+        base = [s for s in spans if s[2] in ("assign", "access", "hex")]
+        row = got[key]
+        assert row["spans"] == text_of(spans)
+        assert row["base_sha256"] == hashlib.sha256(text_of(base).encode()).hexdigest()
+        assert (row["n_assign"], row["n_access"], row["n_hex"]) == tuple(sum(s[2] == k for s in base) for k in ("assign", "access", "hex"))
+        n += len(spans)
+    assert n
+
+
+def test_embedding_of_several_lengths(spark):
+    """Loose pairs, one dense group and two lengths, against brute force; the query's settings."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for dims in (24, 40):
+        x = rng.normal(size=(900, dims))
+        y = x[:300] + rng.normal(size=(300, dims)) * 0.4
+        z = x[:1] + rng.normal(size=(300, dims)) * 0.25
+        rows += [v.tolist() for v in np.concatenate([x, y, z])]
+    rows += [[1.0], [2.0], [1.0, 1.0, 0.0], [1.0, 0.9, 0.0]]
+    units = [np.array(v) / np.linalg.norm(v) for v in rows]
+    links = [(i, j) for d in {len(u) for u in units} for own in [[i for i, u in enumerate(units) if len(u) == d]] for m in [np.stack([units[i] for i in own])] for i, j in ((own[a], own[b]) for a, b in zip(*np.nonzero(np.triu(m @ m.T, 1) >= 0.9), strict=True))]
+    want = np.bincount(np.array(links).ravel(), minlength=len(rows))
+    got = frame(embedding.near_links(spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")), "vec_id")
+    assert (got["n_links"].to_numpy() <= want).all() and got["n_links"].sum() >= 0.99 * want.sum() > 1000
+    assert got["n_links"].tolist()[-4:] == [1, 1, 1, 1]
+
+
 def test_embedding_against_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(700, 32))
@@ -238,6 +391,35 @@ def test_shards(spark):
     assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard")["slot"])
 
 
+def test_shards_query_against_brute_force(spark, small, texts):
+    """The loads of the query's shards are those of best fit, item by item, at the capacity it chose."""
+    got = frame(sharding.op5_shards(spark, small), "doc_id")
+    plain = [t or "" for t in texts["text"]]
+    assert (got["size"] == [len(t.encode()) + 8 for t in plain]).all() and (got["text_crc32"] == [zlib.crc32(t.encode()) for t in plain]).all()
+    assert set(got["law"]) == {"bytes"} and got["grown_shard"].isna().all()
+    sizes, share = got.groupby(plain)["size"].sum(), -(-got["size"].sum() // 24)
+    large = sizes[sizes > share].index
+    homes = got.groupby(plain)["shard"].nunique()
+    assert (homes[~homes.index.isin(large)] == 1).all()
+    if not len(large):
+        def rounded(s):
+            shift = max(s.bit_length() - 10, 0)
+            return s + (1 << shift) - 1 >> shift << shift
+
+        items = [rounded(int(s)) for s in sizes]
+        runs = sharding.least_capacity([(s, items.count(s)) for s in set(items)], 24)
+        chosen = np.zeros(24, int)
+        for s, b, k in runs:
+            chosen[b] += s * k
+        by = {t: s for t, s in zip(plain, got["shard"], strict=True)}
+        load = np.zeros(24, int)
+        for t, s in sizes.items():
+            load[by[t]] += rounded(int(s))
+        assert (load == chosen).all()
+        assert sorted(max(chosen) - chosen) == brute_best_fit(items, int(max(chosen)))
+    assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard")["slot"])
+
+
 def test_mix_reaches_targets(spark, small):
     got = frame(mixing.op7_mix(spark, small), "doc_id")
     assert (got["taken"] <= 2 * got["size"]).all()
@@ -282,6 +464,27 @@ def test_quality(spark, small, docs):
     assert (labels["accepted"] == (labels["quality"] == 1)).mean() > 0.9
 
 
+def test_quality_on_held_out_labels(spark, docs):
+    """Labels of a third of the documents are kept from the fit; whole, long and null texts are scored."""
+    big = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/sf0.01/labels.parquet")
+    got = quality.judged(big, labels.where("doc_id % 3 <> 0")).toPandas()
+    held = labels.where("doc_id % 3 = 0").toPandas().merge(got, on="doc_id")
+    assert len(held) > 80 and (held["accepted"] == (held["quality"] == 1)).mean() > 0.95
+    again = quality.judged(big.repartition(7), labels.where("doc_id % 3 <> 0")).toPandas().merge(got, on="doc_id")
+    assert ((again["score_x"] - again["score_y"]).abs() < 1e-3).all()
+
+
+def test_quality_pool_in_spark_and_in_memory(spark, small, docs):
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    model, rows = quality.fit(docs, labels)
+    table = rows.toArrow().sort_by("id")
+    y = np.array([-1 if v is None else v for v in table.column("y").to_pylist()])
+    other = quality.CoTrained(quality._stacked(table), y)
+    assert model.taught == other.taught and sum(model.taught) > 0
+    assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(model.scores(quality._stacked(table)), other.scores(quality._stacked(table)), strict=True))
+
+
 def test_co_training_learns_from_the_other_view():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 4000)

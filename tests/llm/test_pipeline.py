@@ -1,37 +1,69 @@
-"""The pipeline against a plain version of its deterministic stages."""
+"""The pipeline's stages against plain versions of them."""
+
+import hashlib
+import itertools
+import re
 
 import corpus_pipeline
-from specweave.llm import quality
-from test_operators import brute_fingerprint, roots
+import duckdb
+import pytest
+import xxhash
+from specweave.llm import mixing, quality
+from specweave.scratch import written
+from test_operators import roots
 
-import re
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.fixture(scope="module")
+def stages(spark, small):
+    """The output of each stage but the last."""
+    docs, out = spark.read.parquet(f"{small}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, small), "test-stage")
+        out.append(docs)
+    return out
 
 
-def test_pipeline(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    labels = spark.read.parquet(f"{small}/labels.parquet")
-    good = quality.keep_good(docs, labels)
-    rows = sorted((r["doc_id"], r["text"]) for r in good.select("doc_id", "text").collect())
+def pairs(df):
+    return sorted((r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect())
+
+
+def test_quality_keeps_what_is_accepted(spark, small, stages):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    accepted = {r["doc_id"] for r in quality.judged(docs, labels).where("accepted").collect()}
+    assert [k for k, _ in pairs(stages[0])] == sorted(accepted)
+    assert all(x.columns == docs.columns for x in stages)
+
+
+def test_exact_and_near(stages):
     first = {}
-    for key, text in rows:
-        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text or ""), (key, text))
-    rows = sorted(first.values())
-    prints = [brute_fingerprint(t) for _, t in rows]
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 2]
-    kept = {rows[i][0] for i, r in enumerate(roots(len(rows), links)) if r == i}
-
-    stages = dict(corpus_pipeline.STAGES)
-    out = good
-    for name in ("exact dedup", "simhash near-dedup"):
-        out = stages[name](spark, out, small)
-        assert out.columns == docs.columns
-    assert {r["doc_id"] for r in out.select("doc_id").collect()} == kept
+    for key, text in pairs(stages[0]):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text), key)
+    rows = pairs(stages[1])
+    assert sorted(first.values()) == [k for k, _ in rows]
+    sets = [shingles(t) for _, t in rows]
+    like = {(i, j): len(a & b) / len(a | b) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if a & b}
+    strict, loose = ([p for p, x in like.items() if x >= least] for least in (0.8, 0.7))
+    assert strict
+    kept = {k for k, _ in pairs(stages[2])}
+    must = {rows[i][0] for i, r in enumerate(roots(len(rows), strict)) if r != i}
+    may = {rows[i][0] for i, r in enumerate(roots(len(rows), loose)) if r != i}
+    gone = {k for k, _ in rows} - kept
+    assert must <= gone <= may  # the similarity is an estimate, and takes some pairs just below 0.8
 
-    result = corpus_pipeline.run(spark, small).collect()
-    assert {r["doc_id"] for r in result} <= kept
-    assert result and all(r["decoded_sha256"] for r in result)
-    # the text decoded is the text of the document
-    import hashlib
 
-    text = dict(rows)
-    assert all(r["decoded_sha256"] == hashlib.sha256((text[r["doc_id"]] or "").encode()).hexdigest() for r in result)
+def test_mix_and_encoding(spark, small, stages, tmp_path):
+    stages[2].write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = {k: taken // size for k, size, taken in con.execute(f"SELECT doc_id, size, taken FROM ({mixing.SQL})").fetchall() if size and taken}
+    got = {r["doc_id"]: r["count"] for r in stages[3].where("trim(text) <> ''").groupBy("doc_id").count().collect()}
+    assert got == want
+    text = dict(pairs(stages[2]))
+    result = corpus_pipeline.run(spark, small).collect()
+    assert sorted(r["doc_id"] for r in result) == sorted(k for k, _ in pairs(stages[3]))
+    assert all(r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest() for r in result)
