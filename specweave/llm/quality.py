@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from specweave.llm.common import discard, free_prefix, table, written
+from specweave.llm.common import columns_of, discard, free_prefix, table, written
 
 MOST_LABELLED = 20_000
 ROUNDS = 4
@@ -361,7 +362,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
             good = sent.value.scores(_views(batch))[2] >= threshold
             yield batch.select(range(n)).filter(pa.array(good))
 
-    return docs.select("*", *_inputs(docs, columns)).mapInArrow(run, docs.schema)
+    # mapInArrow takes no names with dots, so columns go by their places
+    places = [f"c{i}" for i in range(n)]
+    schema = StructType([StructField(p, f.dataType, f.nullable) for p, f in zip(places, docs.schema.fields, strict=True)])
+    rows = docs.select(*[c.alias(p) for c, p in zip(columns_of(docs), places, strict=True)], *_inputs(docs, columns))
+    return rows.mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
