@@ -7,10 +7,12 @@ bounded graph a group, and refuse larger ones instead of cutting them.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import defaultdict, deque
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -241,66 +243,82 @@ RELATION_WORTH = {"assigns": 1.0, "drives": 1.0, "connects": 1.0, "contains": 0.
 OTHER_WORTH = 0.5
 
 
-def guided_walks(nodes: DataFrame, pairs: DataFrame, signal_nodes: DataFrame, starts: DataFrame, targets: list[str], walks: int = 70, budget: int = 100, teleport: float = 0.1, alpha: float = 0.3, beta: float = 0.5, gamma: float = 0.2, most_targets: int = 10, seed: int = 0) -> DataFrame:
+def guided_walks(nodes: DataFrame, pairs: DataFrame, signal_nodes: DataFrame, starts: DataFrame, targets: list[str], walks: int = 70, budget: int = 100, teleport: float = 0.1, alpha: float = 0.3, beta: float = 0.5, gamma: float = 0.2, most_targets: int = 10, seed: int = 0, radius: int = 6) -> DataFrame:
     """(start, walk_id, path, discovered): seeded walks that lean towards nodes of target signals.
 
-    All walks take their next step in one join of where they stand with the edges. Draws are hashes of (seed, start, walk, step,
-    neighbour): of neighbours with weights w the one with the least -ln(u) / w is drawn, which is a draw by weight and an ordinary
-    minimum. A walk that has found all its targets, or stands on a node without edges, stays. ``nodes`` needs type; ``signal_nodes(signal, node_id)``.
+    Each start's neighbourhood within ``radius`` is a group, with the importance and signal of its nodes and a shortest path to each
+    signal. All walks of a start step at once, as arrays: every walk's edges get the key -ln(u) / w, and the least one is
+    taken, which is a draw by the weights w. ``nodes`` needs type; ``signal_nodes(signal, node_id)``.
     """
-
-    def draw(*parts) -> Column:
-        """A number above 0 and below 1."""
-        return (F.pmod(F.xxhash64(F.lit(seed), F.col("start"), F.col("walk_id"), *parts), F.lit(1 << 31)) + 0.5) / float(1 << 31)
-
-    signal = signal_nodes.groupBy("node_id").agg(F.max("signal").alias("signal"))
-    info = G.node_importance(nodes, pairs).join(signal, "node_id", "left")
-    info = written(info.select(F.col("node_id").alias("node"), F.coalesce("importance", F.lit(0.1)).alias("importance"), "signal"), "walk-nodes", True)
-    edges = G.both_ways(pairs.where("a <> b")).distinct()
-    edges = written(edges.join(info.select(F.col("node").alias("other"), F.col("importance").alias("worth"), F.col("signal").alias("to_signal")), "other"), "walk-edges")
-
-    # for each start and signal a shortest path: its first step, and the inner nodes that most of the start's paths share
-    reach = G.shortest_paths(pairs, starts).join(info.where("signal is not null").select("node", "signal"), "node").where("start <> node")
-    best = written(reach.groupBy("start", "signal").agg(F.min_by("path", F.struct("dist", "node")).alias("path")), "walk-paths")
-    hop = best.groupBy("start", F.get("path", F.lit(1)).alias("other")).agg(F.collect_set("signal").alias("leads_to"))
-    inner = best.where("size(path) > 2").select("start", "signal", F.explode(F.slice("path", F.lit(2), F.size("path") - 2)).alias("gate"))
-    hits = inner.withColumn("hits", F.count("*").over(W.partitionBy("start", "gate")))
-    gates = hits.withColumn("r", F.row_number().over(W.partitionBy("start", "signal").orderBy(F.desc("hits"), "gate"))).where("r <= 5")
-    gates = gates.groupBy("start").agg(F.collect_list(F.struct("signal", "gate")).alias("gates"))  # five a signal
-    home = starts.select("start").distinct().join(info.select(F.col("node").alias("start"), F.col("signal").alias("home")), "start", "left").join(gates, "start", "left")
-    hop, home = written(hop, "walk-hops", True), written(home, "walk-homes", True)
-
-    goals = F.array(*[F.lit(t) for t in sorted(targets)]).cast("array<string>")
-    own = F.array_sort(F.transform(goals, lambda t: F.struct(F.xxhash64(F.lit(seed), F.col("start"), F.col("walk_id"), t).alias("h"), t.alias("t"))))
-    state = starts.select("start").distinct().crossJoin(nodes.sparkSession.range(walks).select(F.col("id").cast("int").alias("walk_id")))
-    state = state.withColumns({"here": F.col("start"), "path": F.array("start"), "left_": F.slice(F.transform(own, lambda x: x["t"]), 1, most_targets), "discovered": F.array().cast("array<string>")})
-    names = state.columns
-
-    for step in range(1, budget + 1):
-        now = state.join(home, "start").join(info.select(F.col("node").alias("here"), F.col("signal").alias("here_signal")), "here", "left")
-        now = now.withColumn("at_home", F.coalesce(F.col("home") == F.col("here_signal"), F.lit(False)))
-        doors = F.filter(F.coalesce("gates", F.array().cast(dict(home.dtypes)["gates"])), lambda g: F.array_contains("left_", g["signal"]) & ~F.array_contains("path", g["gate"]))
-        now = now.withColumn("doors", F.when(F.col("at_home") & (draw(F.lit(step), F.lit("jump")) < teleport), F.array_sort(F.transform(doors, lambda g: g["gate"]))))
-        door = F.get("doors", F.floor(draw(F.lit(step), F.lit("door")) * F.size("doors")).cast("int"))
-        moves = now.where(F.size("left_") > 0).select("start", "walk_id", "path", "left_", "at_home", F.col("here").alias("node")).join(edges, "node").join(hop, ["start", "other"], "left")
-        toward = F.when(F.col("at_home"), F.size(F.array_intersect("left_", F.coalesce("leads_to", F.array().cast("array<string>")))) / F.size("left_")).otherwise(0.0)
-        new = ~F.array_contains("path", F.col("other"))
-        weight = F.greatest(F.lit(0.01), alpha * F.col("worth") + beta * toward + gamma * new.cast("int"))
-        chosen = moves.groupBy("start", "walk_id").agg(F.min_by("other", F.struct((~new).alias("seen"), (-F.log(draw(F.lit(step), F.col("other"))) / weight).alias("cost"))).alias("to"))
-        now = now.join(chosen, ["start", "walk_id"], "left").withColumn("to", F.when(F.col("to").isNotNull(), F.coalesce(door, "to")))
-        now = now.join(info.select(F.col("node").alias("to"), F.col("signal").alias("to_signal")), "to", "left")
-        hit = F.coalesce(F.array_contains("left_", F.col("to_signal")), F.lit(False))
-        state = now.select(
-            "start", "walk_id", F.coalesce("to", "here").alias("here"), F.when(F.col("to").isNull(), F.col("path")).otherwise(F.concat("path", F.array("to"))).alias("path"),
-            F.when(hit, F.array_remove("left_", F.col("to_signal"))).otherwise(F.col("left_")).alias("left_"),
-            F.when(hit, F.concat("discovered", F.array("to_signal"))).otherwise(F.col("discovered")).alias("discovered"), F.col("to").isNotNull().alias("moved"),
-        )
-        if step % 4 == 0 or step == budget:  # so that plans stay short
-            state = written(state, "walks", True)
-            if state.where("moved").isEmpty():
-                break
-        state = state.select(names)
-    return state.select("start", "walk_id", "path", "discovered")
+    near = written(G.distances(pairs, starts, radius).select("start", "node"), "walk-near")
+    importance = G.node_importance(nodes, pairs).select(F.col("node_id").alias("node"), "importance")
+    signal = signal_nodes.groupBy(F.col("node_id").alias("node")).agg(F.max("signal").alias("signal"))
+    routes = G.shortest_paths(pairs, starts, radius).select("start", "node", "path")
+    kind, absent = dict(pairs.dtypes)["a"], lambda t: F.lit(None).cast(t)
+    about = near.join(importance, "node").join(signal, "node", "left").join(routes, ["start", "node"], "left")
+    about = about.select("start", F.col("node").alias("a"), absent(kind).alias("b"), "importance", "signal", F.when(F.col("signal").isNotNull(), F.col("path")).alias("path"))
+    edges = G.induced(near, pairs).where("a <> b").select("start", "a", "b", absent("double").alias("importance"), absent("string").alias("signal"), absent(f"array<{kind}>").alias("path"))
+    goals = sorted(targets)
+
+    def walk(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return _walked(key[0], frame, goals, walks, budget, teleport, (alpha, beta, gamma), most_targets, seed)
+
+    return about.unionByName(edges).groupBy("start").applyInPandas(walk, f"start {kind}, walk_id int, path array<{kind}>, discovered array<string>")
+
+
+def _walked(start, frame: pd.DataFrame, goals: list[str], walks: int, budget: int, teleport: float, lean: tuple[float, float, float], most_targets: int, seed: int) -> pd.DataFrame:
+    draw = np.random.default_rng(zlib.crc32(f"{seed}|{start}".encode()))
+    info = frame[frame["b"].isna()].sort_values("a", ignore_index=True)
+    names, n = info["a"].tolist(), len(info)
+    place = {x: i for i, x in enumerate(names)}
+    own = frame[frame["b"].notna()]
+    ends = np.array([(place[x], place[y]) for x, y in zip(own["a"], own["b"], strict=True)], np.int64).reshape(-1, 2)
+    ends = np.unique(np.concatenate([ends, ends[:, ::-1]]), axis=0)
+    first = np.searchsorted(ends[:, 0], np.arange(n + 1))
+    worth = info["importance"].fillna(0.1).to_numpy(float)
+    goal_of = np.array([goals.index(s) if isinstance(s, str) and s in goals else -1 for s in info["signal"]])
+    home = info["signal"][place[start]]
+    at_home_node = np.array([isinstance(home, str) and s == home for s in info["signal"]])
+    # for each goal: the first steps of shortest paths to it, and the inner nodes that most paths share
+    routes = [[place[x] for x in p] for p in info["path"] if p is not None and len(p) > 1]
+    hits = np.bincount([x for p in routes for x in p[1:-1]], minlength=n)
+    step_to, doors = np.zeros((len(goals), n), bool), np.zeros((len(goals), n), bool)
+    for p in routes:
+        if (g := goal_of[p[-1]]) >= 0:
+            step_to[g, p[1]] = True
+            doors[g, sorted(p[1:-1], key=lambda x: (-hits[x], x))[:5]] = True
+    left = np.zeros((walks, len(goals)), bool)
+    for w in range(walks):
+        left[w, draw.permutation(len(goals))[:most_targets]] = True
+    here, all_ = np.full(walks, place[start]), np.arange(walks)
+    seen = np.zeros((walks, n), bool)
+    seen[:, place[start]] = True
+    paths, found = [[start] for _ in all_], [[] for _ in all_]
+    for _ in range(budget):
+        go = all_[left.any(1) & (first[here + 1] > first[here])]
+        if not len(go):
+            break
+        size = first[here[go] + 1] - first[here[go]]
+        head = np.cumsum(size) - size
+        who = np.repeat(go, size)
+        to = ends[np.arange(len(who)) - np.repeat(head - first[here[go]], size), 1]
+        new, inside = ~seen[who, to], at_home_node[here[who]]
+        toward = (left[who] & step_to[:, to].T).sum(1) / left[who].sum(1) * inside
+        weight = np.maximum(0.01, lean[0] * worth[to] + lean[1] * toward + lean[2] * new)
+        cost = -np.log(1 - draw.random(len(who))) / weight
+        cost += np.where(new, 0, cost.max() + 1)  # what was visited comes after all that was not
+        pick = np.lexsort((cost, who))[head]
+        target = to[pick]
+        open_ = (left[go].astype(int) @ doors.astype(int) > 0) & ~seen[go]
+        jump = (draw.random(len(go)) < teleport) & at_home_node[here[go]] & open_.any(1)
+        target = np.where(jump, np.argmax(np.where(open_, draw.random(open_.shape), -1), axis=1), target)
+        here[go], seen[go, target] = target, True
+        for w, t in zip(go.tolist(), target.tolist(), strict=True):
+            paths[w].append(names[t])
+            if (g := goal_of[t]) >= 0 and left[w, g]:
+                left[w, g] = False
+                found[w].append(goals[g])
+    return pd.DataFrame({"start": [start] * walks, "walk_id": np.arange(walks, dtype=np.int32), "path": paths, "discovered": found})
 
 
 def walk_quality(walks: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:

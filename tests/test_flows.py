@@ -39,6 +39,7 @@ def test_documents(spark, tmp_path):
     assert (stats["num_pages"], stats["num_files"]) == (5, 3)
     assert {r["doc_id"]: r["words"] for r in D.document_statistics(pages).collect()} == {"a": 3, "b": 3, "c": 2}
     (tmp_path / "d.pdf").write_bytes(b"%PDF")
+    (tmp_path / "d.rtf").write_bytes(b"")
     with pytest.raises(ValueError):
         D.read_documents(spark, str(tmp_path / "d.rtf"))
     assert D.read_documents(spark, str(tmp_path / "d.pdf")).count() == 0
