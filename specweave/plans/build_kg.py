@@ -15,8 +15,8 @@ from specweave.scratch import written
 CHUNK, OVERLAP = 1200, 100
 
 
-def build(docs: DataFrame, types: list[str], spec=None, size: int = CHUNK, overlap: int = OVERLAP, vocabulary: str | None = None, gleanings: int = 1) -> dict[str, DataFrame]:
-    """nodes, edges, communities, summaries and reports of ``docs(doc_id, text)``. Answers of the model are kept, so it is asked once.
+def build(docs: DataFrame, types: list[str], spec=None, size: int = CHUNK, overlap: int = OVERLAP, vocabulary: str | None = None, gleanings: int = 1, with_reports: bool = False) -> dict[str, DataFrame]:
+    """nodes, edges, communities, summaries and, if asked for, reports of ``docs(doc_id, text)``. Answers of the model are kept, so it is asked once.
 
     Chunks are windows of tokens by the rank file ``vocabulary``, or of words without one.
     """
@@ -29,4 +29,5 @@ def build(docs: DataFrame, types: list[str], spec=None, size: int = CHUNK, overl
     nodes, edges = written(nodes, "kg-nodes"), written(edges, "kg-edges")
     groups = C.louvain(nodes, G.undirected(edges))
     summaries = written(E.community_summaries(groups, nodes), "kg-summaries")
-    return {"nodes": nodes, "edges": edges, "communities": groups, "summaries": summaries, "reports": E.community_reports(summaries, spec)}
+    graph = {"nodes": nodes, "edges": edges, "communities": groups, "summaries": summaries}
+    return graph | ({"reports": E.community_reports(summaries, spec)} if with_reports else {})

@@ -105,7 +105,7 @@ def test_graph_from_documents(spark, vocabulary):
         return '("entity"<|>FIFO<|>block<|>a queue)##("entity"<|>ack<|>signal<|>an answer)##("relationship"<|>FIFO<|>ack<|>raises<|>7)'
 
     docs = spark.createDataFrame([(1, "The FIFO raises ack."), (2, "ack answers")], "doc_id int, text string")
-    graph = build_kg.build(docs, ["block", "signal"], model, vocabulary=vocabulary)
+    graph = build_kg.build(docs, ["block", "signal"], model, vocabulary=vocabulary, with_reports=True)
     assert {r["node_id"] for r in graph["nodes"].collect()} == {"FIFO", "ACK"} and graph["communities"].select("community").distinct().count() == 1
     q = spark.createDataFrame([("q", "what raises ack")], "query_id string, query string")
     for method in ("local", "global", "drift"):
