@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from specweave.operators.components import components
-from specweave.scratch import written
+from specweave.scratch import discard, written
 
 HUB_RATIO = 1.5
 
@@ -41,22 +41,50 @@ def density(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return n.crossJoin(m).select("n", "m", d.alias("density"), F.when(F.col("n") > 0, 2.0 * F.col("m") / F.col("n")).otherwise(0.0).alias("avg_degree"))
 
 
+def _node_degrees(edges: DataFrame) -> DataFrame:
+    """(node, d, num): degrees, and a number for each node, so that later steps move numbers instead of ids. Written."""
+    d = both_ways(edges).groupBy("node").agg(F.count("*").alias("d"))
+    return written(d.withColumn("num", F.monotonically_increasing_id()), "degrees")
+
+
+def _triangles(edges: DataFrame, d: DataFrame) -> DataFrame:
+    """(num, tri) of different pairs ``edges(a, b)`` with ``d`` of ``_node_degrees``."""
+    end = lambda e: d.select(F.col("node").alias(e), F.col("d").alias("d" + e), F.col("num").alias("n" + e))
+    half = written(edges.join(end("a"), "a").select("b", "da", "na"), "half")
+    up = F.struct("da", "na") < F.struct("db", "nb")
+    out = half.join(end("b"), "b").select(F.when(up, F.col("na")).otherwise(F.col("nb")).alias("x"), F.when(up, F.col("nb")).otherwise(F.col("na")).alias("y"))
+    out = written(out, "arrows")
+    discard(half)
+    # an edge's third corners are ends of arrows from both its ends; those of the end with fewer arrows are tried
+    fan = written(out.groupBy("x").agg(F.collect_list("y").alias("ends")).withColumn("n", F.size("ends")), "fans")
+    sizes = fan.select("x", "n")
+    open_ = out.join(sizes, "x").join(sizes.select(F.col("x").alias("y"), F.col("n").alias("m")), "y").where("n > 1")
+    less = F.col("n") < F.col("m")
+    turns = written(open_.select(F.when(less, F.col("x")).otherwise(F.col("y")).alias("by"), F.when(less, F.col("y")).otherwise(F.col("x")).alias("to")), "turns")
+    tried = turns.join(fan.select(F.col("x").alias("by"), "ends"), "by").select("by", "to", F.explode("ends").alias("z")).where("z <> to")
+    closed = tried.join(out.select(F.col("x").alias("to"), F.col("y").alias("z")), ["to", "z"])
+    tri = closed.select(F.explode(F.array("by", "to", "z")).alias("num")).groupBy("num").agg(F.count("*").alias("tri"))
+    tri = written(tri, "triangles")
+    discard(out, fan, turns)
+    return tri
+
+
 def triangles(pairs: DataFrame) -> DataFrame:
-    """(node, tri): triangles at each node. Edges point to the end of higher degree, so that hubs start few wedges."""
-    e = pairs.where("a <> b").select("a", "b")
-    d = both_ways(e).groupBy("node").agg(F.count("*").alias("d"))
-    ranked = e.join(d.select(F.col("node").alias("a"), F.col("d").alias("da")), "a").join(d.select(F.col("node").alias("b"), F.col("d").alias("db")), "b")
-    up = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    out = ranked.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y"))
-    wedges = out.alias("p").join(out.alias("q"), F.col("p.x") == F.col("q.x")).where("p.y < q.y").select(F.col("p.x").alias("x"), F.col("p.y").alias("a"), F.col("q.y").alias("b"))
-    closed = wedges.join(e, ["a", "b"])
-    return closed.select(F.explode(F.array("x", "a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("tri"))
+    """(node, tri): triangles at each node. Edges point to the end of higher degree, so that hubs have few arrows; an edge tries the
+    arrows of that end which has fewer, so that no table of all wedges is made."""
+    edges = written(pairs.where("a <> b").select("a", "b"), "edges")
+    d = _node_degrees(edges)
+    return _triangles(edges, d).join(d, "num").select("node", "tri")
 
 
 def clustering(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node_id, degree, tri, clustering): self-loops do not count, fewer than two neighbours give 0."""
-    deg = degrees(nodes, pairs.where("a <> b"))
-    t = deg.join(triangles(pairs).withColumnRenamed("node", "node_id"), "node_id", "left").withColumn("tri", F.coalesce("tri", F.lit(0)).cast("long"))
+    edges = written(pairs.where("a <> b").select("a", "b"), "edges")
+    d = _node_degrees(edges)
+    at = d.join(_triangles(edges, d), "num", "left")
+    discard(edges)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    t = nodes.select("node_id").join(at, F.col("node_id") == F.col("node"), "left").select("node_id", zero("d").alias("degree"), zero("tri"))
     c = F.when(F.col("degree") > 1, 2.0 * F.col("tri") / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0)
     return t.select("node_id", "degree", "tri", c.alias("clustering"))
 

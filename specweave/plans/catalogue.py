@@ -24,6 +24,7 @@ from specweave.operators import retrieval as V
 from specweave.operators import rtl
 from specweave.operators import tokenizing as K2
 from specweave.plans import planning, samples
+from specweave.scratch import written
 from specweave.sinks import graphs as SG
 from specweave.sinks import results as SR
 from specweave.sources import documents as D
@@ -431,9 +432,10 @@ def star_nodes(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
 
 
-def star_edges(spark, sf):
+def star_edges(spark, sf, drives=None):
     link = lambda t, a, b, rel: read(spark, sf, t).select(_ids(*a).alias("src"), _ids(*b).alias("dst"), F.lit(rel).alias("relation"))
-    drives = read(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    if drives is None:
+        drives = read(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
     every = link("nation", ("n", "n_nationkey"), ("r", "n_regionkey"), "part_of").union(link("customer", ("c", "c_custkey"), ("n", "c_nationkey"), "part_of")).union(link("supplier", ("s", "s_suppkey"), ("n", "s_nationkey"), "part_of"))
     return every.union(drives.select(_ids("s", "l_suppkey"), _ids("p", "l_partkey"), F.lit("drives"))).withColumn("edge_seq", F.xxhash64("src", "dst"))
 
@@ -480,9 +482,11 @@ TRIANGLES = "e2 AS (SELECT a, b FROM pairs UNION SELECT least('n:' || s1.s_natio
 @query(f"{GRAPH}, {TRIANGLES} SELECT node_id, coalesce(d, 0) AS degree, coalesce(tri, 0) AS tri, round(CASE WHEN coalesce(d, 0) > 1 THEN 2.0::DOUBLE * coalesce(tri, 0) / (d * (d - 1)) ELSE 0 END, 6) AS clustering FROM nodes LEFT JOIN d2 ON x = node_id LEFT JOIN tn ON node = node_id")
 def kg_clustering(spark, sf):
     """With shortcuts from a nation to the parts of its suppliers, so that there are triangles."""
-    s = read(spark, sf, "supplier")
-    extra = s.join(read(spark, sf, "lineitem").select("l_suppkey", "l_partkey"), F.col("l_suppkey") == F.col("s_suppkey")).select(_ids("n", "s_nationkey").alias("src"), _ids("p", "l_partkey").alias("dst")).distinct()
-    pairs = G.undirected(star_edges(spark, sf).select("src", "dst", "edge_seq").unionByName(extra.withColumn("edge_seq", F.lit(0).cast("long"))))
+    s = read(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    drives = written(read(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct(), "drives")  # read twice
+    extra = drives.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", "l_partkey").distinct()
+    extra = extra.select(_ids("n", "s_nationkey").alias("src"), _ids("p", "l_partkey").alias("dst"))
+    pairs = G.undirected(star_edges(spark, sf, drives).select("src", "dst", "edge_seq").unionByName(extra.withColumn("edge_seq", F.lit(0).cast("long"))))
     return G.clustering(star_nodes(spark, sf), pairs).select("node_id", "degree", "tri", six("clustering"))
 
 

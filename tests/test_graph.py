@@ -168,3 +168,31 @@ def test_gateways(spark):
     p = spark.createDataFrame([("s", "t", ["s", "x", "y", "t"]), ("s", "u", ["s", "x", "u"]), ("s", "v", ["s", "v"])], "source string, target string, path array<string>")
     got = {(r["target"], r["node"]): (r["score"], r["rank"]) for r in G.gateways(p).collect()}
     assert got == {("t", "x"): (1.0, 1), ("t", "y"): (0.5, 2), ("u", "x"): (1.0, 1)}
+
+
+def most_rows(spark, run):
+    """The largest row count of any operator of the queries that ``run`` starts."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    n = store.executionsCount()
+    run()
+    bus.waitUntilEmpty()
+    most = 0
+    done = store.executionsList(n, 1000)
+    for e in [done.apply(i) for i in range(done.size())]:
+        values, metrics = store.executionMetrics(e.executionId()), e.metrics()
+        for m in [metrics.apply(i) for i in range(metrics.size())]:
+            if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_triangles_make_no_table_of_wedges(spark):
+    # 60 low nodes linked to 60 high ones each, and the high ones to a hub: 106,200 wedges at the low nodes, no triangle but one
+    edges = [(f"p{i}", f"s{j}") for i in range(60) for j in range(60)] + [("n", f"s{j}") for j in range(60)] + [("n", f"c{j}") for j in range(30)] + [("n", "p0")]
+    high = [(f"s{j}", f"d{j}_{i}") for j in range(60) for i in range(9)]
+    pairs = spark.createDataFrame([(min(e), max(e)) for e in edges + high], "a string, b string")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node_id")).distinct()
+    got = []
+    assert most_rows(spark, lambda: got.extend(G.clustering(nodes, pairs).where("tri > 0").collect())) < 40_000
+    assert {r["node_id"]: (r["degree"], r["tri"]) for r in got} == {"n": (91, 60), "p0": (61, 60)} | {f"s{j}": (70, 1) for j in range(60)}
