@@ -12,14 +12,16 @@ from collections import defaultdict, deque
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from specweave.operators import graph as G
-from specweave.scratch import written
+from specweave.scratch import discard, small_batches, written
 
 LARGEST = 200_000  # edges that one task may hold
+MOST_SENT = 1 << 22  # nodes whose communities are sent to all tasks, 64 MB
 
 
 def label_propagation(nodes: DataFrame, pairs: DataFrame, rounds: int = 10) -> DataFrame:
@@ -33,42 +35,158 @@ def label_propagation(nodes: DataFrame, pairs: DataFrame, rounds: int = 10) -> D
     return labels.select(F.col("node").alias("node_id"), F.col("label").alias("community"))
 
 
-def louvain(nodes: DataFrame, pairs: DataFrame, levels: int = 8, rounds: int = 12, seed: int = 0) -> DataFrame:
-    """(node_id, community): modularity raised by moving nodes, then by moving whole communities, level by level; as joins.
+def _numbered(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(node_id, num) with numbers from 0 in order of the ids, and how many. Written."""
+    apart = written(nodes.select("node_id").distinct().orderBy("node_id").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "louvain-order")
+    parts = sorted(apart.groupBy("_p").agg(F.min("_i"), F.count("*")).collect())  # one row a partition
+    before, shifts = 0, []
+    for p, least, n in parts:
+        shifts.append((p, before - least))
+        before += n
+    shift = nodes.sparkSession.createDataFrame(shifts, "_p int, _by long")
+    out = written(apart.join(F.broadcast(shift), "_p").select("node_id", (F.col("_i") + F.col("_by")).alias("num")), "louvain-nodes")
+    discard(apart)
+    return out, before
+
+
+def _number_links(pairs: DataFrame, numbers: DataFrame) -> tuple[DataFrame, int, bool]:
+    """(node, other, w) of different pairs both ways, by number; how many; whether all ends have a number."""
+    num = lambda e, to: numbers.select(F.col("node_id").alias(e), F.col("num").alias(to))
+    half = written(pairs.where("a <> b").select("a", "b").distinct().join(num("a", "x"), "a", "left").select("x", "b"), "louvain-half")
+    flat = half.join(num("b", "y"), "b").where("x is not null")
+    ways = F.array(F.struct(F.col("x").alias("node"), F.col("y").alias("other")), F.struct(F.col("y").alias("node"), F.col("x").alias("other")))
+    links = written(flat.select(F.explode(ways).alias("e")).select("e.*", F.lit(1.0).alias("w")), "louvain")
+    ends, n = links.count(), half.count()
+    discard(half)
+    return links, ends, ends == 2 * n
+
+
+def best_moves(node, k, counts, other, w, label, total, ends: float):
+    """(nodes, communities they move to) of nodes with weights ``k`` and ``counts`` links each to ``other`` of weight ``w``."""
+    own, rows = label[node], np.arange(len(node))
+    row, c, into = np.concatenate([np.repeat(rows, counts), rows]), np.concatenate([label[other], own]), np.concatenate([w, np.zeros(len(node))])
+    order = np.argsort(row * len(label) + c, kind="stable")
+    row, c = row[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (c[1:] != c[:-1])]))
+    into, row, c = np.add.reduceat(into[order], first), row[first], c[first]
+    home = c == own[row]
+    gain = np.floor((into - k[row] * (total[c] - np.where(home, k[row], 0.0)) / ends) * 1e9 + 0.5)
+    most = np.maximum.reduceat(gain, np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])))
+    top = np.flatnonzero(gain == most[row])
+    top = top[np.concatenate([[True], row[top[1:]] != row[top[:-1]]])]  # the least community of several
+    moves = most > gain[home]
+    return node[moves], c[top][moves]
+
+
+def _may(seed: int, level: int, turn: int):
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(turn), F.col("node")), F.lit(2)) == 0
+
+
+def _labels_sent(links: DataFrame, degree: DataFrame, n: int, ends: int, level: int, rounds: int, seed: int) -> np.ndarray:
+    """Community of each number after the rounds of a level; communities and their weights go to the tasks as arrays."""
+    spark = links.sparkSession
+    found = degree.toArrow()
+    k, label = np.zeros(n), np.arange(n)
+    k[found.column("node").to_numpy()] = found.column("k").to_numpy()
+    lists = links.where("node <> other").groupBy("node").agg(F.collect_list(F.struct("other", "w")).alias("l"))
+    near = written(lists.join(degree, "node").select("node", "k", F.col("l.other").alias("other"), F.col("l.w").alias("w")), "louvain-near")
+    still = 0
+    for turn in range(rounds):
+        sent = spark.sparkContext.broadcast((label, np.bincount(label, k, n)))
+
+        def run(batches, sent=sent):
+            label, total = sent.value
+            for batch in batches:
+                node, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                counts = np.diff(batch.column(2).offsets.to_numpy())
+                ends_at = np.cumsum(counts)
+                at = 0
+                while at < len(node):  # a million links at a time, or one node's
+                    to = max(at + 1, int(np.searchsorted(ends_at, (ends_at[at - 1] if at else 0) + (1 << 20), "right")))
+                    other, w = (batch.column(i).slice(at, to - at).flatten().to_numpy() for i in (2, 3))
+                    moved = best_moves(node[at:to], k[at:to], counts[at:to], other, w, label, total, float(ends))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in moved], ["node", "c"])
+                    at = to
+
+        with small_batches(spark):
+            moved = near.where(_may(seed, level, turn)).mapInArrow(run, "node long, c long").toArrow()
+        sent.destroy()
+        label = label.copy()
+        label[moved.column(0).to_numpy()] = moved.column(1).to_numpy()
+        still = 0 if moved.num_rows else still + 1
+        if still == 3:  # every node had its turn, most likely several
+            break
+    discard(near)
+    return label
+
+
+def _labels_joined(links: DataFrame, degree: DataFrame, ends: int, level: int, rounds: int, seed: int) -> DataFrame:
+    """(node, c) after the rounds of a level, as joins."""
+    labels, still = written(degree.select("node", "k", F.col("node").alias("c")), "louvain-labels"), 0
+    outer = links.where("node <> other")
+    for turn in range(rounds):
+        total = labels.groupBy("c").agg(F.sum("k").alias("total"))
+        own = labels.where(_may(seed, level, turn)).select("node", "k", F.col("c").alias("own"))
+        into = outer.where(_may(seed, level, turn)).join(labels.select(F.col("node").alias("other"), "c"), "other").groupBy("node", "c").agg(F.sum("w").alias("into"))
+        stay = own.select("node", F.col("own").alias("c"), F.lit(0.0).alias("into"))
+        choice = into.unionByName(stay).groupBy("node", "c").agg(F.sum("into").alias("into")).join(total, "c").join(own, "node")
+        gain = F.col("into") - F.col("k") * (F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / F.lit(float(ends))
+        choice = choice.withColumn("gain", F.floor(gain * 1e9 + 0.5))
+        best = choice.groupBy("node").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("now"), F.max("gain").alias("most"), F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("to"))
+        moved = best.where("most > now").select("node", "to")
+        new = labels.join(moved, "node", "left").select("node", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved"))
+        before, labels = labels, written(new, "louvain-labels")
+        discard(before)
+        still = still + 1 if labels.where("moved").isEmpty() else 0
+        if still == 3:
+            break
+    return labels.select("node", "c")
+
+
+def louvain(nodes: DataFrame, pairs: DataFrame, levels: int = 8, rounds: int = 12, seed: int = 0, most_sent: int = MOST_SENT) -> DataFrame:
+    """(node_id, community): modularity raised by moving nodes, then by moving whole communities, level by level.
 
     In a round a hash picks half of the nodes; each of them moves to the community around it with the largest gain, the least of
     several. So neighbours seldom swap places, and reruns agree. A community is named by its least member; isolated nodes are alone.
+    Nodes are numbered first. With up to ``most_sent`` of them the communities go to all tasks as two arrays, and a round reads the links where
+    they are; with more, a round is joins. The moves are the same.
     """
-    flat = pairs.where("a <> b").select("a", "b").distinct()
-    links = written(flat.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*", F.lit(1.0).alias("w")), "louvain")
-    ends = links.count()
-    home = written(nodes.select("node_id", F.col("node_id").alias("c")), "louvain-homes")
+    known, (numbers, n) = nodes.select("node_id").distinct(), _numbered(nodes)
+    links, ends, whole = _number_links(pairs, numbers)
+    if not whole:  # ends that are no nodes take part, but get no row
+        discard(links, numbers)
+        numbers, n = _numbered(known.union(pairs.where("a <> b").select(F.explode(F.array("a", "b")))))
+        links, ends, _ = _number_links(pairs, numbers)
+    home = numbers if whole else numbers.join(known, "node_id", "left_semi")
+    home = written(home.select("num", F.col("num").alias("c")), "louvain-homes")
     for level in range(levels if ends else 0):
         degree = written(links.groupBy("node").agg(F.sum("w").alias("k")), "louvain-degrees")
-        labels, still = written(degree.select("node", "k", F.col("node").alias("c")), "louvain-labels"), 0
-        outer = links.where("node <> other")
-        for turn in range(rounds):
-            total = labels.groupBy("c").agg(F.sum("k").alias("total"))
-            into = outer.join(labels.select(F.col("node").alias("other"), "c"), "other").groupBy("node", "c").agg(F.sum("w").alias("into"))
-            own = labels.select("node", "k", F.col("c").alias("own"))
-            stay = labels.select("node", "c", F.lit(0.0).alias("into"))
-            choice = into.unionByName(stay).groupBy("node", "c").agg(F.sum("into").alias("into")).join(total, "c").join(own, "node")
-            gain = F.col("into") - F.col("k") * (F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / ends
-            choice = choice.withColumn("gain", F.round(gain, 9))
-            best = choice.groupBy("node", "k", "own").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("now"), F.max("gain").alias("most"), F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("to"))
-            may = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(turn), F.col("node")), F.lit(2)) == 0
-            moves = may & (F.col("most") > F.col("now"))
-            labels = written(best.select("node", "k", F.when(moves, F.col("to")).otherwise(F.col("own")).alias("c"), moves.alias("moved")), "louvain-labels")
-            still = still + 1 if labels.where("moved").isEmpty() else 0
-            labels = labels.drop("moved")
-            if still == 3:  # every node had its turn, most likely several
-                break
-        merged = labels.select("node", "c")
-        home = written(home.join(merged.select(F.col("node").alias("c"), F.col("c").alias("n")), "c", "left").select("node_id", F.coalesce("n", "c").alias("c")), "louvain-homes")
-        if merged.where("node <> c").isEmpty():
+        if n <= most_sent:
+            label = _labels_sent(links, degree, n, ends, level, rounds, seed)
+            sent = numbers.sparkSession.sparkContext.broadcast(label)
+            pick = lambda *at: lambda batches: (pa.RecordBatch.from_arrays([pa.array(sent.value[c.to_numpy()]) if i in at else c for i, c in enumerate(b.columns)], names=b.schema.names) for b in batches)  # noqa: B023, E731
+            next_home = written(home.mapInArrow(pick(1), "num long, c long"), "louvain-homes")
+            done = bool((label == np.arange(n)).all())
+            ends_of = links.mapInArrow(pick(0, 1), "node long, other long, w double")
+        else:
+            merged = _labels_joined(links, degree, ends, level, rounds, seed)
+            next_home = written(home.join(merged.select(F.col("node").alias("c"), F.col("c").alias("n")), "c", "left").select("num", F.coalesce("n", "c").alias("c")), "louvain-homes")
+            done = merged.where("node <> c").isEmpty()
+            ends_of = links.join(merged, "node").join(merged.select(F.col("node").alias("other"), F.col("c").alias("d")), "other").select(F.col("c").alias("node"), F.col("d").alias("other"), "w")
+        discard(home, degree)
+        home = next_home
+        if done:
             break
-        links = written(links.join(merged, "node").join(merged.select(F.col("node").alias("other"), F.col("c").alias("d")), "other").groupBy(F.col("c").alias("node"), F.col("d").alias("other")).agg(F.sum("w").alias("w")), "louvain")
-    return written(home.withColumn("community", F.min("node_id").over(W.partitionBy("c"))).select("node_id", "community"), "louvain-found")
+        before, links = links, written(ends_of.groupBy("node", "other").agg(F.sum("w").alias("w")), "louvain")
+        discard(before)
+        if n <= most_sent:
+            sent.destroy()
+    least = home.groupBy("c").agg(F.min("num").alias("least"))  # the least number is the least id
+    named = home.join(least, "c").select("num", "least").join(numbers, "num").select("node_id", "least")
+    named = named.join(numbers.select(F.col("node_id").alias("community"), F.col("num").alias("least")), "least").drop("least")
+    found = written(nodes.select("node_id").join(named, "node_id"), "louvain-found")
+    discard(home, links, numbers)
+    return found
 
 
 def modularity(pairs: DataFrame, communities: DataFrame) -> float:

@@ -62,6 +62,11 @@ def _settings(spark: SparkSession) -> Iterator[None]:
                     spark.conf.set(k, v)
 
 
+def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager:
+    """The settings of a write, for a plan whose rows go to the driver."""
+    return _settings(spark)
+
+
 _scopes = threading.local()
 
 

@@ -1,6 +1,7 @@
 """Token windows, Louvain communities, gleaning and reports, PDF text, and guards."""
 
 import itertools
+import random
 import zlib
 
 import pytest
@@ -16,6 +17,7 @@ from specweave.plans import build_kg, use_kg
 from specweave.sources import documents as D
 from specweave.sources import results as SR
 from specweave.sources.pdf import pdf_pages
+from test_graph import metrics
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +64,30 @@ def test_louvain(spark):
     assert C.louvain(nodes, pairs.where("false")).where("node_id = community").count() == 19
 
 
+def rings(n, seed):
+    """Rings of 20 with random chords, some of them between rings."""
+    draw = random.Random(seed)
+    edges = {(i, i + 1 if i % 20 < 19 else i - 19) for i in range(n)} | {(i, i // 20 * 20 + draw.randrange(20)) for i in range(n) for _ in range(3)}
+    return sorted({(min(e), max(e)) for e in edges | {(draw.randrange(n), draw.randrange(n)) for _ in range(n // 4)}})
+
+
+def test_louvain_same_moves_by_arrays_and_joins(spark):
+    pairs = spark.createDataFrame([(f"v{a}", f"v{b}") for a, b in rings(200, 5)], "a string, b string")
+    nodes = spark.createDataFrame([(f"v{i}",) for i in range(199)] + [("alone",)], "node_id string")  # v199 is an end only
+    sent, joined = ({r["node_id"]: r["community"] for r in C.louvain(nodes, pairs, most_sent=m).collect()} for m in (1000, 0))
+    assert sent == joined and len(sent) == 200 and "v199" not in sent and sent["alone"] == "alone"
+    assert all(c == min(v for v in sent if sent[v] == c) for c in sent.values())
+    whole = nodes.union(spark.createDataFrame([("v199",)], "node_id string"))
+    assert C.modularity(pairs, C.louvain(whole, pairs)) > 0.6
+
+
+def test_louvain_rounds_move_no_links(spark):
+    edges = rings(1000, 7)
+    pairs, nodes = spark.createDataFrame(edges, "a long, b long"), spark.range(1000).withColumnRenamed("id", "node_id")
+    links = 2 * len([e for e in edges if e[0] != e[1]])
+    assert sum(metrics(spark, lambda: C.louvain(nodes, pairs), "shuffle records written")) < 8 * links
+
+
 def test_guided_walks_stay_on_edges(spark):
     edges = [(i, (i + 1) % 12) for i in range(12)] + [(0, 6)]
     nodes = spark.createDataFrame([(i, "port" if i % 4 == 0 else "module") for i in range(12)] + [(50, "module")], "node_id long, type string")

@@ -170,21 +170,20 @@ def test_gateways(spark):
     assert got == {("t", "x"): (1.0, 1), ("t", "y"): (0.5, 2), ("u", "x"): (1.0, 1)}
 
 
-def most_rows(spark, run):
-    """The largest row count of any operator of the queries that ``run`` starts."""
+def metrics(spark, run, name="number of output rows"):
+    """The values of a metric in all operators of the queries that ``run`` starts."""
     store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
     bus.waitUntilEmpty()
     n = store.executionsCount()
     run()
     bus.waitUntilEmpty()
-    most = 0
-    done = store.executionsList(n, 1000)
+    out, done = {}, store.executionsList(n, 1000)
     for e in [done.apply(i) for i in range(done.size())]:
-        values, metrics = store.executionMetrics(e.executionId()), e.metrics()
-        for m in [metrics.apply(i) for i in range(metrics.size())]:
-            if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
-                most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
-    return most
+        values, found = store.executionMetrics(e.executionId()), e.metrics()
+        for m in [found.apply(i) for i in range(found.size())]:
+            if m.name() == name and values.contains(m.accumulatorId()):
+                out[m.accumulatorId()] = int(values.apply(m.accumulatorId()).replace(",", ""))
+    return list(out.values())
 
 
 def test_triangles_make_no_table_of_wedges(spark):
@@ -194,5 +193,5 @@ def test_triangles_make_no_table_of_wedges(spark):
     pairs = spark.createDataFrame([(min(e), max(e)) for e in edges + high], "a string, b string")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node_id")).distinct()
     got = []
-    assert most_rows(spark, lambda: got.extend(G.clustering(nodes, pairs).where("tri > 0").collect())) < 40_000
+    assert max(metrics(spark, lambda: got.extend(G.clustering(nodes, pairs).where("tri > 0").collect()))) < 40_000
     assert {r["node_id"]: (r["degree"], r["tri"]) for r in got} == {"n": (91, 60), "p0": (61, 60)} | {f"s{j}": (70, 1) for j in range(60)}
