@@ -36,7 +36,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with similar five-word shingles (0.8 or more) the document with the smallest doc_id stays."""
+    """Of each group of texts the document with the smallest doc_id stays. Texts are linked by the vantage-point tree over their
+    fingerprints, as in op1, and beside it by similar five-word shingles (0.8 or more)."""
     return simhash.drop_near_texts(docs)
 
 

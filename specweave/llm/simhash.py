@@ -7,9 +7,9 @@ median, the near side is pruned when d - r > m and the far side when d + r <= m
 exactly; leaves larger than a tile are cut into tiles of bounded size, each pair of chunks in one, so no leaf is one task. A tile
 returns a spanning forest of its links, not the links, so a dense group costs rows in proportion to its members.
 
-``near_texts`` is the wider search of the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8. Such
-fingerprints differ in some 10 of 64 bits (16 at times), and balls of that radius reach nearly every leaf of any vantage-point tree
-over random bits, so the tree would compare everything with everything. There a document's candidates are those that share one of
+``near_texts`` is the pipeline's: the links of the tree, as above, and those of a wider search beside it, for documents whose sets of
+five-word shingles have a Jaccard similarity of 0.8. Such fingerprints differ in some 10 of 64 bits (16 at times), and balls of that radius reach nearly every leaf of any vantage-point tree
+over random bits, so a tree of that radius would compare everything with everything. In the wider search a document's candidates are those that share one of
 its least shingles, a fifth of them (the prefix bound: sets of that similarity must), in an order that puts common shingles last.
 Candidates are compared by SimHash alone, the fingerprint and 256 bits more, against the angle that the similarity means for sets of
 their sizes; so the similarity is an estimate with a standard error of about 0.03. Groups are searched in tiles, as leaves are.
@@ -275,23 +275,30 @@ def common_shingles(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
     return np.sort(top.select("s").toArrow().column(0).to_numpy().view("<u8"))
 
 
-def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WIDTH, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """(doc_id, component_id), one row a document: components of documents with similar sets of shingles."""
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WIDTH, similarity: float = SIMILARITY, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, component_id), one row a document: components of documents with near fingerprints, found by the vantage-point tree, or
+    with similar sets of shingles."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(common_shingles(docs, text_col, width))
     words = [f"f{i}" for i in range(NEAR_WORDS)]
 
     def run(batches):
         for batch in batches:
-            found = [signature(x.as_py(), sent.value, width, similarity) for x in batch.column(1)]
+            texts = batch.column(1).to_pylist()
+            found = [signature(x, sent.value, width, similarity) for x in texts]
+            own = np.fromiter((fingerprint(x) for x in texts), "<u8", len(texts)).view("<i8")
             prints = np.array([p for p, _, _ in found], "<u8").reshape(-1, NEAR_WORDS).view("<i8")
             ends = np.cumsum([0, *(len(x) for _, _, x in found)]).astype(np.int32)
             least = pa.ListArray.from_arrays(ends, np.concatenate([x for _, _, x in found]).view("<i8") if found else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in prints.T), pa.array([n for _, n, _ in found], pa.int32()), least], ["doc_id", *words, "size", "least"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), *(pa.array(np.ascontiguousarray(c)) for c in prints.T), pa.array([n for _, n, _ in found], pa.int32()), least], ["doc_id", "fp", *words, "size", "least"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(rows.mapInArrow(run, f"doc_id long, {', '.join(w + ' long' for w in words)}, size int, least array<long>"), "near")
-    # equal fingerprints of all words and equal sizes are one class, and any member's shingles do for it
+    rows = written(rows.mapInArrow(run, f"doc_id long, fp long, {', '.join(w + ' long' for w in words)}, size int, least array<long>"), "near")
+    # the tree links classes of equal fingerprints; each is named by its least document
+    tree = written(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes", True)
+    branches = written(class_links(tree, radius), "tree-links", True)
+
+    # the wider search: equal fingerprints of all words and equal sizes are one class, and any member's shingles do for it
     kinds = rows.groupBy(*words, "size").agg(F.min("doc_id").alias("rep"), F.min("least").alias("least"))
     classes = written(kinds.where("rep is not null"), "near-classes")
     narrow = classes.select("rep", *words, "size")
@@ -329,15 +336,17 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({"a": np.concatenate([p for p, _ in out]), "b": np.concatenate([q for _, q in out])})
 
     many = dealt.groupBy("g", "large", "i", "j").applyInArrow(linked, "a long, b long")
-    links = written(two.union(many).distinct(), "near-links", True)
+    # a document joins its class of the tree with that of the wider search
+    ties = rows.where("doc_id is not null").select("fp", *words, "size").distinct().join(tree.withColumnRenamed("rep", "a"), "fp").join(narrow.withColumnRenamed("rep", "b"), [*words, "size"]).where("a <> b").select("a", "b")
+    links = written(two.union(many).union(branches).union(ties).distinct(), "near-links", True)
     found = components(links).withColumnRenamed("node", "rep")
     homes = written(narrow.join(found, "rep", "left").select(*words, "size", F.coalesce("component", "rep").alias("component_id")), "near-homes", True)
-    discard(classes, groups, links)
+    discard(classes, groups, links, tree, branches)
     return rows.join(homes, [*words, "size"], "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component of similar texts the one with the smallest id; rows with a null id stay."""
+    """The rows of ``docs`` that stay: of each component of ``near_texts`` the one with the smallest id; rows with a null id stay."""
     return _without(docs, near_texts(docs, id_col, text_col, width, similarity), id_col)
 
 

@@ -8,7 +8,7 @@ import corpus_pipeline
 import duckdb
 import pytest
 import xxhash
-from specweave.llm import mixing, quality
+from specweave.llm import mixing, quality, simhash
 from specweave.scratch import written
 from test_operators import roots
 
@@ -56,6 +56,17 @@ def test_exact_and_near(stages):
     assert must <= gone <= may  # the similarity is an estimate, and takes some pairs just below 0.8
 
 
+def test_near_takes_what_the_tree_links(spark):
+    phrase = " ".join(f"w{i}" for i in range(11))
+    texts = {1: f"{phrase} " * 50, 2: f"{phrase} " * 50 + " ".join(f"x{i}" for i in range(12)), 3: "other words stand here alone", None: f"{phrase} " * 50 + "y", 5: None}
+    assert len(shingles(texts[1]) & shingles(texts[2])) / len(shingles(texts[1]) | shingles(texts[2])) < 0.6
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    op1 = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs.where("doc_id is not null")).collect()}
+    assert op1 == {1: 1, 2: 1, 3: 3, 5: 5}
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(r["doc_id"] or 0 for r in got) == [0, 1, 3, 5]
+
+
 def test_mix_and_encoding(spark, small, stages, tmp_path):
     stages[2].write.parquet(str(tmp_path / "documents"))
     con = duckdb.connect()
