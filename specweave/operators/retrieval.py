@@ -9,7 +9,9 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -131,12 +133,46 @@ def _query_weights(queries: DataFrame, idf: DataFrame, by: list[str]) -> DataFra
     return raw.select(*by, "query_id", "term", (F.col("x") / norm).alias("q"), "idf")
 
 
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of all rows, and the row of each."""
+    return lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+
+
+def _windows(p: np.ndarray, row: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, chunk, how many of the row's places it holds); ``p`` ascends within a row, chunk i holds places i * step to i * step + size - 1.
+
+    Places between two starts of chunks follow each other, and every chunk is some of these stretches and the front of one more.
+    """
+    if not len(p):
+        return p, p, p
+    most = int(p.max()) // step + 1
+
+    def runs(q, r):
+        key = r * most + q // step
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        return key[at], np.diff(np.append(at, len(key)))
+
+    key, n = runs(p, row)
+    parts = [(key[key % most >= j] - j, n[key % most >= j]) for j in range(size // step)]
+    if size % step:
+        j = size // step
+        front = (p % step < size % step) & (p >= j * step)
+        key, n = runs(p[front], row[front])
+        parts.append((key - j, n))
+    key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    key, n = key[at], np.add.reduceat(n, at)
+    return key // most, key % most, n
+
+
 def top_windows(docs: DataFrame, queries: DataFrame, configs: list[tuple[int, int]], k: int = PER_RETRIEVER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(config, query_id, doc_id, chunk_idx, sim, rank): ``top_chunks`` over the chunks of ``chunk_words`` for each (size, overlap), without cutting them.
 
     Texts are split into terms once. A document's term is one row with the places it stands at, and every chunk is a range of
     places: document frequencies are sums of how many chunks of each configuration a row's places touch. Terms meet their
-    frequencies in one join, and are counted by chunk where their document is, so that only lengths of chunks are left to shuffle.
+    frequencies in one join, and are counted by chunk where their document is, as arrays, so that only lengths of chunks are left to shuffle.
     """
     sizes = [(c, size, size - overlap) for c, (size, overlap) in enumerate(configs)]
     # one pattern a text, not a word: what belongs to no term becomes one mark, at which words are split
@@ -146,13 +182,17 @@ def top_windows(docs: DataFrame, queries: DataFrame, configs: list[tuple[int, in
     terms = spread.select("id", F.posexplode("w").alias("at", "word")).select("id", "at", F.explode(F.split("word", "\u0001")).alias("term")).where("char_length(term) >= 2")
     rows = written(terms.groupBy("id", "term").agg(F.array_sort(F.collect_list("at")).alias("at")).withColumn("row", F.monotonically_increasing_id()), "places")
 
-    # chunks of step d that hold place p: from first(p) to p div d
-    first = lambda p, size, d: f"if({p} < {size}, 0, ({p} - {size}) div {d} + 1)"
-    touched = [
-        F.expr(f"aggregate(at, named_struct('n', 0L, 'u', -1L), (s, p) -> named_struct('n', s.n + greatest(0L, p div {d} - greatest(s.u + 1, {first('p', size, d)}) + 1), 'u', p div {d}), s -> s.n)").alias(f"df{c}")
-        for c, size, d in sizes
-    ]
-    df = rows.select("term", *touched).groupBy("term").agg(*[F.sum(f"df{c}").alias(f"df{c}") for c, _, _ in sizes])
+    steps = [(size, d) for _, size, d in sizes]
+    names = [f"df{c}" for c, _, _ in sizes]
+
+    def touched(batches):
+        """How many chunks of each configuration a row's places touch."""
+        for batch in batches:
+            p, row = _flat(batch.column(1))
+            found = [np.bincount(_windows(p, row, size, d)[0], minlength=batch.num_rows) for size, d in steps]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in found)], ["term", *names])
+
+    df = rows.select("term", "at").mapInArrow(touched, "term string, " + ", ".join(f"{x} long" for x in names)).groupBy("term").agg(*[F.sum(x).alias(x) for x in names])
     df = written(df, "frequencies", True)
     lengths = texts.select("id", F.size(words(F.col("text"))).alias("n")).where("n > 0")
     total = lengths.agg(*[F.coalesce(F.sum(F.expr(f"(n - 1) div {d} + 1")), F.lit(0)).alias(f"n{c}") for c, _, d in sizes]).first()  # one row
@@ -162,14 +202,43 @@ def top_windows(docs: DataFrame, queries: DataFrame, configs: list[tuple[int, in
 
     ranges = F.array(*[F.struct(F.lit(c).alias("config"), F.lit(size).alias("size"), F.lit(d).alias("step")) for c, size, d in sizes])
 
+    # chunks of step d that hold place p: from first(p) to p div d
+    first = lambda p, size, d: f"if({p} < {size}, 0, ({p} - {size}) div {d} + 1)"
+
     def by_chunk(found: DataFrame, weight) -> DataFrame:
         """(id, config, chunk_idx, row, x) of rows (id, row, at): the summed weights of a row's places; a document's are in one task."""
         every = found.select("*", F.explode("at").alias("p")).drop("at").select("*", F.explode(ranges).alias("c")).withColumn("w", weight)
         every = every.select("id", "c.config", "row", "w", F.explode(F.expr(f"sequence({first('p', 'c.size', 'c.step')}, p div c.step)")).alias("chunk_idx"))
         return every.groupBy("id", "config", "chunk_idx", "row").agg(F.sum("w").alias("x"))
 
-    weighted = by_chunk(rows.join(wide, "term").drop("term").repartition("id"), F.get("idfs", F.col("c.config")))
-    norm = weighted.groupBy("id", "config", "chunk_idx").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    n_chunks = [total[f"n{c}"] for c, _, _ in sizes]
+
+    def squares(batches):
+        """Squared weights by chunk, summed over a batch; the rows of a document follow each other."""
+        for batch in batches:
+            p, row = _flat(batch.column(1))
+            ids = batch.column(0).dictionary_encode(null_encoding="encode")
+            doc = ids.indices.to_numpy()
+            dfs = batch.column(2).flatten().to_numpy().reshape(-1, len(steps))
+            for c, (size, d) in enumerate(steps):
+                r, chunk, tf = _windows(p, row, size, d)
+                if not len(r):
+                    continue
+                x = tf * (np.log((1 + n_chunks[c]) / (1.0 + dfs[:, c])) + 1)[r]
+                most = int(chunk.max()) + 1
+                key = doc[r].astype(np.int64) * most + chunk
+                if len(ids.dictionary) * most <= 4 * len(key) + (1 << 20):
+                    held = np.flatnonzero(np.bincount(key))
+                    sums = np.bincount(key, x * x)[held]
+                else:
+                    held, at = np.unique(key, return_inverse=True)
+                    sums = np.bincount(at, x * x)
+                yield pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(held // most)), pa.array(np.full(len(held), c, np.int32)), pa.array(held % most), pa.array(sums)], ["id", "config", "chunk_idx", "x"])
+
+    kind = dict(rows.dtypes)["id"]
+    few = F.array(*names).cast("array<int>") if max(n_chunks) < 1 << 31 else F.array(*names)  # no frequency is larger
+    weighted = rows.join(df.select("term", few.alias("dfs")), "term").select("id", "at", "dfs").repartition("id").sortWithinPartitions("id")
+    norm = weighted.mapInArrow(squares, f"id {kind}, config int, chunk_idx long, x double").groupBy("id", "config", "chunk_idx").agg(F.sqrt(F.sum("x")).alias("norm"))
     asked = queries.select(F.explode(tokens(F.col("query"), 2)).alias("term")).distinct()
     match = rows.join(F.broadcast(asked), "term")
     tf = by_chunk(match.drop("term").repartition("id"), F.lit(1.0)).join(match.select("row", "term"), "row")

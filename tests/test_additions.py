@@ -4,6 +4,7 @@ import itertools
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,27 @@ def test_windows_rank_like_chunks(spark):
         assert sorted(key(r) for r in got if r["config"] == i) == want
 
 
+def test_windows_make_no_row_for_each_place(spark):
+    words = [f"w{i % 40}" for i in range(3000)]
+    df = spark.createDataFrame([(i, " ".join(words[i:])) for i in range(4)], "doc_id long, text string")
+    q = spark.createDataFrame([("a", "w3 w5")], "query_id string, query string")
+    configs = [(s, int(s * r)) for s in V.SIZES for r in V.RATIOS]
+    # 12,000 places; a chunk of each configuration holds most of its places' terms once
+    assert max(metrics(spark, lambda: V.top_windows(df, q, configs, 5).collect())) <= 12_000
+    got = {r["chunk_idx"]: r["n"] for r in V.top_windows(df, q, [(10, 4), (7, 0), (9, 6)], 3).groupBy("chunk_idx").agg(F.count("*").alias("n")).collect()}
+    assert sum(got.values()) == 9
+
+
+@pytest.mark.parametrize(("size", "step"), [(10, 6), (7, 7), (9, 3), (10, 3), (50, 40)])
+def test_places_by_window(size, step):
+    draw = random.Random(size)
+    rows = [sorted(draw.sample(range(200), draw.randrange(1, 60))) for _ in range(20)]
+    want = {(r, c): n for r, ps in enumerate(rows) for c in range(max(ps) // step + 1) if (n := sum(c * step <= p < c * step + size for p in ps))}
+    p, row = np.array([p for ps in rows for p in ps]), np.array([r for r, ps in enumerate(rows) for _ in ps])
+    got = V._windows(p, row, size, step)
+    assert {(r, c): n for r, c, n in zip(*(x.tolist() for x in got), strict=True)} == want and len(got[0]) == len(want)
+
+
 def test_louvain(spark):
     groups = [list(range(a, a + 6)) for a in (0, 10, 20)]
     edges = [p for g in groups for p in itertools.combinations(g, 2)] + [(5, 10), (15, 20)]
